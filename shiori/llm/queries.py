@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiori.llm.common import line_key, lines_once, table
-from shiori.session import ship
+from shiori.session import settle, ship
 
 
 def p4_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,47 @@ def p7_word_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _document_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shiori.llm.tokens import with_token_counts
+
+    return with_token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", ["source"])
+
+
+def _capacities(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+    return {r["pack_name"]: r["capacity_tokens"] for r in table(spark, sf_dir, "pack_sizes").collect()}
+
+
+def p8_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in packs of the permitted capacities, chosen jointly."""
+    from shiori.llm.packing import pack
+
+    return pack(settle(_document_sizes(spark, sf_dir)), "doc_id", "n_tokens", _capacities(spark, sf_dir))
+
+
+def p8_packs_of_each_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in packs of one capacity, for each capacity."""
+    from shiori.llm.packing import pack
+
+    sizes = settle(_document_sizes(spark, sf_dir))
+    parts = [pack(sizes, "doc_id", "n_tokens", {n: c}) for n, c in sorted(_capacities(spark, sf_dir).items())]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shiori.llm.mixing import mix
+
+    return mix(_document_sizes(spark, sf_dir), table(spark, sf_dir, "source_weights"), "doc_id", "source", "n_tokens")[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shiori.llm.mixing import mix
+
+    return mix(_document_sizes(spark, sf_dir), table(spark, sf_dir, "source_weights"), "doc_id", "source", "n_tokens")[1]
+
+
 P7_TERMS_SQL = """
 with m as (select distinct doc_id, line_no, token_pos, word, matched_text from matches),
 n as (select count(*) as n_lines from (select distinct doc_id, line_no from matches)),
@@ -83,7 +124,7 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p4_found, p4_runs, p7_found, p7_terms, p7_word_ngrams]
+    names = [p4_found, p4_runs, p7_found, p7_terms, p7_word_ngrams, p8_packs, p8_packs_of_each_capacity, p9_mixture, p9_shares]
     return {f.__name__: _shipped(f) for f in names}
 
 
