@@ -83,6 +83,16 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_document_sizes(spark, sf_dir), table(spark, sf_dir, "source_weights"), "doc_id", "source", "n_tokens")[1]
 
 
+def p10_text_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shiori.llm.quality import text_types
+
+    return text_types(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_text_types(spark, sf_dir).where("text_type = 'junk'").select("doc_id")
+
+
 P7_TERMS_SQL = """
 with m as (select distinct doc_id, line_no, token_pos, word, matched_text from matches),
 n as (select count(*) as n_lines from (select distinct doc_id, line_no from matches)),
@@ -124,7 +134,7 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p4_found, p4_runs, p7_found, p7_terms, p7_word_ngrams, p8_packs, p8_packs_of_each_capacity, p9_mixture, p9_shares]
+    names = [p4_found, p4_runs, p7_found, p7_terms, p7_word_ngrams, p8_packs, p8_packs_of_each_capacity, p9_mixture, p9_shares, p10_found, p10_text_types]
     return {f.__name__: _shipped(f) for f in names}
 
 
