@@ -11,6 +11,23 @@ from shiori.llm.common import line_key, lines_once, table
 from shiori.session import settle, ship
 
 
+def _texts_for_charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = lines_once(spark, sf_dir).select(line_key().alias("row_key"), F.lit("lines").alias("field"), F.col("doc_id").alias("source"), "text")
+    names = table(spark, sf_dir, "documents_src").groupBy("doc_id").agg(F.min("file_name").alias("text"), F.min("source_type").alias("source"))
+    return lines.unionByName(names.select(F.col("doc_id").alias("row_key"), F.lit("documents_src").alias("field"), "source", "text"))
+
+
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records read in a wrong encoding, with chain, posterior and restored text."""
+    from shiori.llm.charsets import repair
+
+    return repair(_texts_for_charsets(spark, sf_dir)).withColumnRenamed("field", "src_table")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_repaired(spark, sf_dir).select("src_table", "row_key")
+
+
 def p4_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shiori.llm.runs import collapse_runs
 
@@ -134,7 +151,7 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p4_found, p4_runs, p7_found, p7_terms, p7_word_ngrams, p8_packs, p8_packs_of_each_capacity, p9_mixture, p9_shares, p10_found, p10_text_types]
+    names = [p2_found, p2_repaired, p4_found, p4_runs, p7_found, p7_terms, p7_word_ngrams, p8_packs, p8_packs_of_each_capacity, p9_mixture, p9_shares, p10_found, p10_text_types]
     return {f.__name__: _shipped(f) for f in names}
 
 
