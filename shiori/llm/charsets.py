@@ -39,7 +39,8 @@ RUNS = {
 UTF8_BYTES = re.compile(UTF8.encode() + rb"{2,}")
 #: Characters that no single-byte reading of another encoding leaves out altogether.
 SUSPECT = re.compile("[^\x00-\x7f　-ヿ㐀-鿿가-힣ऀ-ॿ！-ﾟ‐-…※♪-♯]")
-LOSSY = re.compile("�")
+#: Replacement characters, and private ones that a legacy table yields for unassigned bytes.
+LOSSY = re.compile("[\ufffd\ue000-\uf8ff]")
 
 
 def _table(read: str) -> dict[int, int]:
@@ -237,17 +238,17 @@ def _weigh(found: DataFrame, sizes: DataFrame, rounds: int, shrink: float) -> Da
     """EM over the chain weights of sources; adds posterior of each row's chain."""
     fields = sizes.groupBy("field").agg(F.sum("n").alias("n_field"))
     chains = len(TRUE) * (len(SINGLE) + len(DOUBLE)) + 1
-    weighed = found.join(sizes, ["source", "field"]).join(F.broadcast(fields), "field")
+    top = found.groupBy("row_key", "field").agg(F.greatest(F.max("gain"), F.lit(0.0)).alias("top"))
+    weighed = settle(found.join(sizes, ["source", "field"]).join(F.broadcast(fields), "field").join(top, ["row_key", "field"]))
     post = weighed.withColumn("w", F.lit(0.01 / chains)).withColumn("clean", F.lit(0.99))
 
     def posterior(df: DataFrame) -> DataFrame:
-        top = df.groupBy("row_key", "field").agg(F.greatest(F.max("gain"), F.lit(0.0)).alias("top"))
-        like = df.join(top, ["row_key", "field"]).withColumn("u", F.col("w") * F.exp(F.col("gain") - F.col("top")))
+        like = df.withColumn("u", F.col("w") * F.exp(F.col("gain") - F.col("top")))
         total = like.groupBy("row_key", "field").agg(F.sum("u").alias("all_u"))
         whole = F.col("all_u") + F.col("clean") * F.exp(-F.col("top"))
-        return like.join(total, ["row_key", "field"]).withColumn("post", F.col("u") / whole).drop("u", "all_u", "top")
+        return like.join(total, ["row_key", "field"]).withColumn("post", F.col("u") / whole).drop("u", "all_u")
 
-    post = posterior(post)
+    post = settle(posterior(post))
     for _ in range(rounds):
         by_field = post.groupBy("field", "chain").agg(F.sum("post").alias("k_field"))
         by_source = post.groupBy("source", "field", "chain").agg(F.sum("post").alias("k"))

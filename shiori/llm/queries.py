@@ -14,7 +14,23 @@ from shiori.session import settle, ship
 def _texts_for_charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = lines_once(spark, sf_dir).select(line_key().alias("row_key"), F.lit("lines").alias("field"), F.col("doc_id").alias("source"), "text")
     names = table(spark, sf_dir, "documents_src").groupBy("doc_id").agg(F.min("file_name").alias("text"), F.min("source_type").alias("source"))
-    return lines.unionByName(names.select(F.col("doc_id").alias("row_key"), F.lit("documents_src").alias("field"), "source", "text"))
+    names = names.select(F.col("doc_id").alias("row_key"), F.lit("documents_src").alias("field"), "source", "text")
+    return lines.unionByName(names).unionByName(_examples(spark, sf_dir))
+
+
+def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Example sentences as records; the evidence of an example pools with that of its document."""
+    rows = table(spark, sf_dir, "word_examples").groupBy("example_id").agg(F.min("sentence").alias("text"), F.min("doc_id").alias("source"))
+    return rows.select(F.col("example_id").cast("string").alias("row_key"), F.lit("word_examples").alias("field"), "source", "text")
+
+
+def _well_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and examples (row_key, field, text) but for those read in a wrong encoding."""
+    from shiori.llm.charsets import repair
+
+    rows = _texts_for_charsets(spark, sf_dir)
+    cases = repair(rows).select("row_key", "field")
+    return rows.where("field != 'documents_src'").select("row_key", "field", "text").join(cases, ["row_key", "field"], "left_anti")
 
 
 def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +41,18 @@ def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p2_repaired(spark, sf_dir).select("src_table", "row_key")
+    return p2_repaired(spark, sf_dir).where("src_table != 'word_examples'").select("src_table", "row_key")
+
+
+def p5_house_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every well-read text in the house form, and whether it was in it."""
+    from shiori.llm.lookalikes import normalise
+
+    return normalise(_well_read(spark, sf_dir)).select(F.col("field").alias("src_table"), "row_key", "house_text", "changed")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_house_forms(spark, sf_dir).where("changed").select("src_table", "row_key")
 
 
 def p4_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +178,7 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p2_found, p2_repaired, p4_found, p4_runs, p7_found, p7_terms, p7_word_ngrams, p8_packs, p8_packs_of_each_capacity, p9_mixture, p9_shares, p10_found, p10_text_types]
+    names = [p2_found, p2_repaired, p5_found, p5_house_forms, p4_found, p4_runs, p7_found, p7_terms, p7_word_ngrams, p8_packs, p8_packs_of_each_capacity, p9_mixture, p9_shares, p10_found, p10_text_types]
     return {f.__name__: _shipped(f) for f in names}
 
 
