@@ -111,6 +111,17 @@ class Model:
         return s
 
 
+#: Seven-bit Japanese between its escape sequences, the escape characters kept or lost.
+SHIFTED = re.compile(r"\x1b?\$[@B]((?:[\x21-\x7e]{2})+?)(?:\x1b?\([BJ]|$)")
+
+
+def _shifted(m: re.Match) -> str:
+    try:
+        return ("\x1b$B" + m.group(1) + "\x1b(B").encode("ascii").decode("iso2022_jp")
+    except UnicodeError:
+        return m.group()
+
+
 def _undo_single(text: str, true: str, read: str) -> str | None:
     mapped = text.translate(_tables[read])
     changed, last, out = False, 0, []
@@ -176,6 +187,9 @@ def _undo_double(text: str, true: str, read: str) -> str | None:
 def readings(text: str) -> dict[str, str]:
     """{chain: restored text} of the chains that can be undone."""
     out: dict[str, str] = {}
+    got = SHIFTED.sub(_shifted, text)
+    if got != text:
+        out["iso2022_jp>ascii"] = got
     if text.isascii():
         return out
     if SUSPECT.search(text):

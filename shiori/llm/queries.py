@@ -55,6 +55,45 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_house_forms(spark, sf_dir).where("changed").select("src_table", "row_key")
 
 
+def _sentence_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Well-read lines and examples, with whether they are verse."""
+    types = table(spark, sf_dir, "documents_src").groupBy("doc_id").agg(F.max(F.col("source_type") == "lyrics").alias("verse"))
+    rows = _well_read(spark, sf_dir)
+    lines = rows.where("field = 'lines'").withColumn("doc_id", F.substring_index("row_key", "#", 1)).join(types, "doc_id", "left")
+    ex = table(spark, sf_dir, "word_examples").groupBy(F.col("example_id").cast("string").alias("row_key")).agg(F.max(F.col("source_type") == "lyrics").alias("verse"))
+    examples = rows.where("field = 'word_examples'").join(ex, "row_key", "left")
+    cols = [F.col("field").alias("src_table"), "row_key", "text", F.coalesce("verse", F.lit(False)).alias("verse")]
+    return lines.select(*cols).unionByName(examples.select(*cols))
+
+
+def _document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.lit("documents").alias("src_table"), F.col("doc_id").cast("string").alias("row_key"), "text", F.coalesce(F.col("source_type") == "lyrics", F.lit(False)).alias("verse"))
+
+
+def _sentence_model(texts: DataFrame, spark: SparkSession, sf_dir: str) -> dict:
+    from shiori.llm.sentences import train
+
+    docs = _document_texts(spark, sf_dir)
+    return train(texts.unionByName(docs).select(F.concat_ws("#", "src_table", "row_key").alias("row_key"), "text"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shiori.llm.sentences import boundaries
+
+    texts = settle(_sentence_texts(spark, sf_dir))
+    return boundaries(texts, _sentence_model(texts, spark, sf_dir), ["src_table", "row_key"])
+
+
+def p6_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence units of every line, example and document."""
+    from shiori.llm.sentences import units
+
+    texts = settle(_sentence_texts(spark, sf_dir))
+    model = _sentence_model(texts, spark, sf_dir)
+    return units(texts.unionByName(_document_texts(spark, sf_dir)), model, ["src_table", "row_key"])
+
+
 def p4_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shiori.llm.runs import collapse_runs
 
@@ -178,7 +217,7 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p2_found, p2_repaired, p5_found, p5_house_forms, p4_found, p4_runs, p7_found, p7_terms, p7_word_ngrams, p8_packs, p8_packs_of_each_capacity, p9_mixture, p9_shares, p10_found, p10_text_types]
+    names = [p2_found, p2_repaired, p5_found, p5_house_forms, p6_found, p6_sentences, p4_found, p4_runs, p7_found, p7_terms, p7_word_ngrams, p8_packs, p8_packs_of_each_capacity, p9_mixture, p9_shares, p10_found, p10_text_types]
     return {f.__name__: _shipped(f) for f in names}
 
 
