@@ -11,6 +11,29 @@ from shiori.llm.common import line_key, lines_once, table
 from shiori.session import settle, ship
 
 
+def _work_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shows = table(spark, sf_dir, "watched_shows")
+    year = F.coalesce(F.col("s.air_year"), F.expr("try_cast(substr(s.air_date, 1, 4) as int)"))
+    latest = shows.groupBy("bangumi_id").agg(F.max_by(F.struct("title_jp", "title_zh", "air_year", "air_date", "eps"), F.struct("updated_at", "title_jp")).alias("s"))
+    shows = latest.select(F.col("bangumi_id").alias("rid"), F.lit("shows").alias("tbl"), F.array("s.title_jp", "s.title_zh").alias("names"), year.alias("year"), F.col("s.eps").alias("episodes"))
+    anime = table(spark, sf_dir, "anime_records").groupBy("record_id").agg(F.max(F.struct("title", "synonyms", "air_year", "episodes")).alias("s"))
+    anime = anime.select(F.col("record_id").alias("rid"), F.lit("anime").alias("tbl"), F.concat(F.array("s.title"), F.coalesce("s.synonyms", F.array().cast("array<string>"))).alias("names"), F.col("s.air_year").alias("year"), F.col("s.episodes").alias("episodes"))
+    files = table(spark, sf_dir, "jimaku_entries").groupBy("entry_id").agg(F.max(F.struct("entry_name", "file_count")).alias("s"))
+    files = files.select(F.col("entry_id").alias("rid"), F.lit("jimaku").alias("tbl"), F.array("s.entry_name").alias("names"), F.lit(None).cast("int").alias("year"), F.col("s.file_count").alias("episodes"))
+    return shows.unionByName(anime).unionByName(files).where("rid is not null")
+
+
+def p1_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidate pairs with the confidence that both records mean the same work."""
+    from shiori.llm.matching import match
+
+    return match(_work_records(spark, sf_dir))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_matches(spark, sf_dir).where("confidence > 0.5").select("left_id", "right_id")
+
+
 def _texts_for_charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = lines_once(spark, sf_dir).select(line_key().alias("row_key"), F.lit("lines").alias("field"), F.col("doc_id").alias("source"), "text")
     names = table(spark, sf_dir, "documents_src").groupBy("doc_id").agg(F.min("file_name").alias("text"), F.min("source_type").alias("source"))
@@ -59,7 +82,7 @@ def _sentence_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Well-read lines and examples, with whether they are verse."""
     types = table(spark, sf_dir, "documents_src").groupBy("doc_id").agg(F.max(F.col("source_type") == "lyrics").alias("verse"))
     rows = _well_read(spark, sf_dir)
-    lines = rows.where("field = 'lines'").withColumn("doc_id", F.substring_index("row_key", "#", 1)).join(types, "doc_id", "left")
+    lines = rows.where("field = 'lines'").withColumn("doc_id", F.regexp_replace("row_key", "#[^#]*$", "")).join(types, "doc_id", "left")
     ex = table(spark, sf_dir, "word_examples").groupBy(F.col("example_id").cast("string").alias("row_key")).agg(F.max(F.col("source_type") == "lyrics").alias("verse"))
     examples = rows.where("field = 'word_examples'").join(ex, "row_key", "left")
     cols = [F.col("field").alias("src_table"), "row_key", "text", F.coalesce("verse", F.lit(False)).alias("verse")]
@@ -217,7 +240,7 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p2_found, p2_repaired, p5_found, p5_house_forms, p6_found, p6_sentences, p4_found, p4_runs, p7_found, p7_terms, p7_word_ngrams, p8_packs, p8_packs_of_each_capacity, p9_mixture, p9_shares, p10_found, p10_text_types]
+    names = [p1_found, p1_matches, p2_found, p2_repaired, p5_found, p5_house_forms, p6_found, p6_sentences, p4_found, p4_runs, p7_found, p7_terms, p7_word_ngrams, p8_packs, p8_packs_of_each_capacity, p9_mixture, p9_shares, p10_found, p10_text_types]
     return {f.__name__: _shipped(f) for f in names}
 
 
