@@ -34,6 +34,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_matches(spark, sf_dir).where("confidence > 0.5").select("left_id", "right_id")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports to refuse, with the accepted import each repeats."""
+    from shiori.llm.batches import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "web_imports"))
+
+
 def _texts_for_charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = lines_once(spark, sf_dir).select(line_key().alias("row_key"), F.lit("lines").alias("field"), F.col("doc_id").alias("source"), "text")
     names = table(spark, sf_dir, "documents_src").groupBy("doc_id").agg(F.min("file_name").alias("text"), F.min("source_type").alias("source"))
@@ -240,7 +247,7 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p1_found, p1_matches, p2_found, p2_repaired, p5_found, p5_house_forms, p6_found, p6_sentences, p4_found, p4_runs, p7_found, p7_terms, p7_word_ngrams, p8_packs, p8_packs_of_each_capacity, p9_mixture, p9_shares, p10_found, p10_text_types]
+    names = [p1_found, p1_matches, p2_found, p2_repaired, p3_found, p5_found, p5_house_forms, p6_found, p6_sentences, p4_found, p4_runs, p7_found, p7_terms, p7_word_ngrams, p8_packs, p8_packs_of_each_capacity, p9_mixture, p9_shares, p10_found, p10_text_types]
     return {f.__name__: _shipped(f) for f in names}
 
 
