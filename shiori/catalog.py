@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from shiori.plans import words
+from shiori.session import ship
 
-def oracle_sql() -> dict:
-    return {}
+MODULES = [words]
+
+
+def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    run.__name__, run.__doc__ = f.__name__, f.__doc__
+    return run
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: _shipped(f) for m in MODULES for f in m.QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for m in MODULES for k, v in m.SQL.items()}

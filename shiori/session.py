@@ -73,3 +73,13 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     context.addPyFile(target)
     context._shiori_shipped = True
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what finished jobs left: their plans, shuffle files and checkpoints.
+    Spark removes those only once the driver's garbage is collected, which a long loop of
+    small jobs does too late."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
