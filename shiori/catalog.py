@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shiori.plans import words
+from shiori.plans import parsing, sources, words
 from shiori.session import ship
 
-MODULES = [words]
+MODULES = [words, sources, parsing]
 
 
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -112,7 +112,7 @@ def word_pattern(c: Column) -> Column:
 
 def readings(c: Column) -> Column:
     """The readings of a word list, split on ; ； 、 ,."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "[;；、,]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "[;；、,]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def gloss_readings(c: Column) -> Column:
@@ -179,7 +179,7 @@ def clock(ms: Column) -> Column:
     s = F.floor(ms / 1000)
     two = lambda x: F.when(x < 10, F.concat(F.lit("0"), x.cast("string"))).otherwise(x.cast("string"))
     short = F.concat_ws(":", two(F.floor(s / 60) % 60), two(s % 60))
-    return F.when(s >= 3600, F.concat_ws(":", two(F.floor(s / 3600)), short)).otherwise(short)
+    return F.when(ms.isNull(), None).when(s >= 3600, F.concat_ws(":", two(F.floor(s / 3600)), short)).otherwise(short)
 
 
 def show_year(date: Column) -> Column:

@@ -1,216 +1,60 @@
-"""Arrow-batched functions for what the JVM can't express: Unicode forms, HTML, charsets, romaji, fuzzy scores, ruby."""
+"""The plain functions as Arrow-batched column functions. They are made when called, so that
+workers can import modules that use them."""
 
 from __future__ import annotations
 
 import html
-import re
 import unicodedata
-from html.parser import HTMLParser
+from collections.abc import Callable
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Hepburn spellings of kana.
-ROMAJI = {}
-for _c, _row in {"": "あいうえお", "k": "かきくけこ", "s": "さしすせそ", "t": "たちつてと", "n": "なにぬねの", "h": "はひふへほ", "m": "まみむめも", "r": "らりるれろ", "g": "がぎぐげご", "z": "ざじずぜぞ", "d": "だぢづでど", "b": "ばびぶべぼ", "p": "ぱぴぷぺぽ"}.items():
-    ROMAJI |= {k: _c + v for k, v in zip(_row, "aiueo")}
-ROMAJI |= {"や": "ya", "ゆ": "yu", "よ": "yo", "わ": "wa", "を": "o", "ん": "n", "し": "shi", "ち": "chi", "つ": "tsu", "ふ": "fu", "じ": "ji", "ぢ": "ji", "づ": "zu", "ゔ": "vu"}
-SMALL = {"ゃ": "ya", "ゅ": "yu", "ょ": "yo"}
-BLOCK_TAGS = {"address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "footer", "hr", "li", "main", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul"}
-SKIP_TAGS = {"head", "nav", "script", "style", "svg", "title", "rt", "rp"}
-
-
-def fold(text: str) -> str:
-    return unicodedata.normalize("NFKC", text).casefold()
-
-
-def match_text(text: str) -> str:
-    """NFKC, folded case, letters and digits only."""
-    return re.sub(r"[\s\W_]+", "", fold(text))
-
-
-def title_key(text: str) -> str:
-    """NFKC, folded case, without punctuation and blanks."""
-    return "".join(c for c in fold(text) if not c.isspace() and not unicodedata.category(c)[0] in "PS" or c in "♥♡")
-
-
-def hiragana(text: str) -> str:
-    return "".join(chr(ord(c) - 0x60) if "ァ" <= c <= "ヶ" else c for c in text)
-
-
-def romaji(text: str) -> str:
-    """Kana in Hepburn spelling; other characters stay."""
-    t = hiragana(text)
-    out, i, double = "", 0, False
-    while i < len(t):
-        c = t[i]
-        i += 1
-        if c == "っ":
-            double = True
-            continue
-        if c == "ー":
-            r = out[-1:]
-        elif i < len(t) and t[i] in SMALL and ROMAJI.get(c, "").endswith("i") and c != "い":
-            stem = ROMAJI[c][:-1]
-            r = stem + (SMALL[t[i]][1:] if stem in ("sh", "ch", "j") else SMALL[t[i]])
-            i += 1
-        else:
-            r = ROMAJI.get(c, c)
-        if double and r[:1].isascii() and r[:1].isalpha() and r[0] not in "aiueo":
-            out += r[0]
-        double = False
-        out += r
-    return out
-
-
-def search_value(text: str) -> str:
-    """NFKC, lower case, kana folded."""
-    return hiragana(unicodedata.normalize("NFKC", text).lower().strip())
-
-
-def variants(text: str) -> list[str]:
-    """The value, without punctuation, and in Latin letters."""
-    v = search_value(text)
-    if not v:
-        return []
-    compact = re.sub(r"[\s\W_]+", "", v)
-    latin = re.sub(r"[\s\W_]+", "", romaji(v)) if re.search("[ぁ-ゖ]", v) else ""
-    return list(dict.fromkeys(x for x in (v, compact, latin) if x))
-
-
-def fuzzy(field: str, term: str) -> int:
-    """Score of a subsequence match, 0 where the gate is closed."""
-    kana, han = re.compile("[ぁ-ゖー]"), re.compile("[㐀-鿿]")
-    if len(term) < 4 or len(field) > 40 or len(term) > len(field) or re.fullmatch("[a-z0-9]+", term) and len(term) < 5:
-        return 0
-    if kana.search(term) and not kana.search(field) or not kana.search(term) and han.search(term) and not han.search(field):
-        return 0
-    places, at = [], 0
-    for c in term:
-        at = field.find(c, at)
-        if at < 0:
-            return 0
-        places.append(at)
-        at += 1
-    span = places[-1] - places[0] + 1
-    gaps = span - len(term)
-    return max(12, int(46 * len(term) / span + 0.5) - min(gaps, 20))
-
-
-class _Text(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
-        self.skip: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in SKIP_TAGS:
-            self.skip.append(tag)
-        elif tag in BLOCK_TAGS:
-            self.parts.append("\n")
-
-    def handle_endtag(self, tag):
-        if self.skip and tag == self.skip[-1]:
-            self.skip.pop()
-        elif tag in BLOCK_TAGS:
-            self.parts.append("\n")
-
-    def handle_data(self, data):
-        if not self.skip:
-            self.parts.append(data)
-
-
-def html_text(markup: str) -> str:
-    """Readable text of a page; block tags break lines, ruby readings and scripts are skipped."""
-    p = _Text()
-    p.feed(markup)
-    p.close()
-    lines = [re.sub(r"[ \t　\xa0]+", " ", x).strip() for x in "".join(p.parts).split("\n")]
-    return "\n".join(x for x in lines if x)
-
-
-def decode(raw: bytes, encodings: tuple[str, ...] = ("utf-8-sig", "cp932", "shift_jis"), errors: str = "ignore") -> str:
-    """The first encoding that reads the bytes without an error."""
-    for e in encodings:
-        try:
-            return raw.decode(e)
-        except UnicodeDecodeError:
-            continue
-    return raw.decode("utf-8", errors)
-
-
-def ruby(surface: str, reading: str) -> list[tuple[str, str]]:
-    """(text, reading) of each run; kana runs anchor the reading."""
-    runs = re.findall("[ぁ-ゖァ-ヺー]+|[^ぁ-ゖァ-ヺー]+", surface)
-    pattern = "".join(f"({re.escape(hiragana(r))})" if re.match("[ぁ-ゖァ-ヺー]", r) else "(.+?)" for r in runs)
-    m = re.fullmatch(pattern, hiragana(reading))
-    if not m:
-        return [(surface, reading)]
-    return [(r, "" if re.match("[ぁ-ゖァ-ヺー]", r) else g) for r, g in zip(runs, m.groups())]
-
-
-def spoken(text: str) -> str:
-    """Text without what stands in parentheses, nested ones too."""
-    out, depth = [], 0
-    for c in text:
-        if c in "(（":
-            depth += 1
-        elif c in ")）" and depth:
-            depth -= 1
-        elif not depth:
-            out.append(c)
-    return re.sub(r"\s+", " ", "".join(out)).strip()
-
-
-def segments(text: str, soft: int = 70, hard: int = 120) -> list[str]:
-    """Speech segments; a mark ends a sentence, a pause ends one after `soft`, nothing exceeds `hard`."""
-    out, now = [], ""
-    for c in text:
-        now += c
-        if c in "。！？!?\n" or len(now) >= soft and c in "、，,;； " or len(now) >= hard:
-            out.append(now.strip())
-            now = ""
-    return [x for x in [*out, now.strip()] if x]
-
-
-def _text_udf(f):
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else f(x))
-
-    return run
-
-
-nfc = _text_udf(lambda x: unicodedata.normalize("NFC", x))
-folded = _text_udf(fold)
-match_key = _text_udf(match_text)
-title_keys = _text_udf(title_key)
-in_romaji = _text_udf(romaji)
-unescaped = _text_udf(html.unescape)
-page_text = _text_udf(html_text)
-to_speech = _text_udf(spoken)
-
-
-@F.pandas_udf("array<string>")
-def search_variants(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: [] if x is None else variants(x))
+from shiori.functions import pure
+from shiori.functions.pure import decode, html_text  # noqa: F401
 
 
-@F.pandas_udf("int")
-def fuzzy_score(field: pd.Series, term: pd.Series) -> pd.Series:
-    return pd.Series([fuzzy(a or "", b or "") for a, b in zip(field, term)], dtype="int32")
+def _mapped(f: Callable, kind: str = "string", null=None) -> Callable[..., Column]:
+    """A column function of one argument; null gives `null`."""
 
+    def call(c) -> Column:
+        def run(s: pd.Series) -> pd.Series:
+            return s.map(lambda x: null if x is None else f(x))
 
-@F.pandas_udf("string")
-def decoded(raw: pd.Series) -> pd.Series:
-    return raw.map(lambda x: None if x is None else decode(bytes(x)))
+        run.__annotations__ = {"s": pd.Series, "return": pd.Series}
+        return F.pandas_udf(run, kind)(c)
 
+    return call
 
-@F.pandas_udf("array<struct<text:string,rt:string>>")
-def ruby_runs(surface: pd.Series, reading: pd.Series) -> pd.Series:
-    return pd.Series([[{"text": t, "rt": r} for t, r in ruby(a or "", b or "")] for a, b in zip(surface, reading)])
 
+def _paired(f: Callable, kind: str) -> Callable[..., Column]:
+    """A column function of two strings; null counts as empty."""
 
-@F.pandas_udf("array<string>")
-def speech_segments(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: [] if x is None else segments(x))
+    def call(a, b) -> Column:
+        def run(x: pd.Series, y: pd.Series) -> pd.Series:
+            return pd.Series([f(p or "", q or "") for p, q in zip(x, y)])
+
+        run.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
+        return F.pandas_udf(run, kind)(a, b)
+
+    return call
+
+
+def _named_ruby(surface: str, reading: str) -> list[dict]:
+    return [{"text": t, "rt": r} for t, r in pure.ruby(surface, reading)]
+
+
+nfc = _mapped(lambda x: unicodedata.normalize("NFC", x))
+folded = _mapped(pure.fold)
+match_key = _mapped(pure.match_text)
+title_keys = _mapped(pure.title_key)
+in_romaji = _mapped(pure.romaji)
+unescaped = _mapped(html.unescape)
+page_text = _mapped(pure.html_text)
+to_speech = _mapped(pure.spoken)
+decoded = _mapped(lambda x: pure.decode(bytes(x)))
+search_variants = _mapped(pure.variants, "array<string>", [])
+speech_segments = _mapped(pure.segments, "array<string>", [])
+fuzzy_score = _paired(pure.fuzzy, "int")
+ruby_runs = _paired(_named_ruby, "array<struct<text:string,rt:string>>")

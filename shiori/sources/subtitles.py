@@ -36,7 +36,7 @@ def ass_lines(files: DataFrame) -> DataFrame:
     rows = files.select("file", F.posexplode(F.split(F.regexp_replace("content", "\r\n?", "\n"), "\n")).alias("n", "row")).withColumn("row", F.trim("row")).where("row != ''")
     upto = Window.partitionBy("file").orderBy("n")
     section = F.last(F.when(F.col("row").startswith("["), F.lower("row")), ignorenulls=True).over(upto)
-    fields = F.when(F.lower("row").startswith("format:"), F.transform(F.split(F.lower(F.substring_index("row", ":", -1)), ","), F.trim))
+    fields = F.when(F.lower("row").startswith("format:"), F.transform(F.split(F.lower(F.substring_index("row", ":", -1)), ","), lambda x: F.trim(x)))
     rows = rows.withColumn("section", section).where("section = '[events]'").withColumn("fields", F.last(fields, ignorenulls=True).over(upto))
     spot = F.coalesce(F.nullif(F.array_position("fields", "text"), F.lit(0)), F.lit(10)).cast("int")
     said = rows.where(F.lower("row").startswith("dialogue:")).withColumn("spot", spot)
