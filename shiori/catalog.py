@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shiori.plans import parsing, sources, words
+from shiori.plans import lookup, parsing, sources, study, words
 from shiori.session import ship
 
-MODULES = [words, sources, parsing]
+MODULES = [words, sources, parsing, lookup, study]
 
 
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -51,6 +51,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Compute once into a compressed table in the shared folder and read that: for tables of
+    texts, which checkpoints would hold uncompressed, and where a join needs sizes."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint behind a check: `df` is counted first, and a side larger than
     `limit` rows is left to a shuffled join."""
