@@ -15,7 +15,7 @@ from shiori.functions import pure
 from shiori.functions.pure import decode, html_text  # noqa: F401
 
 
-def _mapped(f: Callable, kind: str = "string", null=None) -> Callable[..., Column]:
+def mapped(f: Callable, kind: str = "string", null=None) -> Callable[..., Column]:
     """A column function of one argument; null gives `null`."""
 
     def call(c) -> Column:
@@ -28,7 +28,7 @@ def _mapped(f: Callable, kind: str = "string", null=None) -> Callable[..., Colum
     return call
 
 
-def _paired(f: Callable, kind: str) -> Callable[..., Column]:
+def paired(f: Callable, kind: str) -> Callable[..., Column]:
     """A column function of two strings; null counts as empty."""
 
     def call(a, b) -> Column:
@@ -45,16 +45,16 @@ def _named_ruby(surface: str, reading: str) -> list[dict]:
     return [{"text": t, "rt": r} for t, r in pure.ruby(surface, reading)]
 
 
-nfc = _mapped(lambda x: unicodedata.normalize("NFC", x))
-folded = _mapped(pure.fold)
-match_key = _mapped(pure.match_text)
-title_keys = _mapped(pure.title_key)
-in_romaji = _mapped(pure.romaji)
-unescaped = _mapped(html.unescape)
-page_text = _mapped(pure.html_text)
-to_speech = _mapped(pure.spoken)
-decoded = _mapped(lambda x: pure.decode(bytes(x)))
-search_variants = _mapped(pure.variants, "array<string>", [])
-speech_segments = _mapped(pure.segments, "array<string>", [])
-fuzzy_score = _paired(pure.fuzzy, "int")
-ruby_runs = _paired(_named_ruby, "array<struct<text:string,rt:string>>")
+nfc = mapped(lambda x: unicodedata.normalize("NFC", x))
+folded = mapped(pure.fold)
+match_key = mapped(pure.match_text)
+title_keys = mapped(pure.title_key)
+in_romaji = mapped(pure.romaji)
+unescaped = mapped(html.unescape)
+page_text = mapped(pure.html_text)
+to_speech = mapped(pure.spoken)
+decoded = mapped(lambda x: pure.decode(bytes(x)))
+search_variants = mapped(pure.variants, "array<string>", [])
+speech_segments = mapped(pure.segments, "array<string>", [])
+fuzzy_score = paired(pure.fuzzy, "int")
+ruby_runs = paired(_named_ruby, "array<struct<text:string,rt:string>>")
