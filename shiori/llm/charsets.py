@@ -38,7 +38,10 @@ RUNS = {
 }
 UTF8_BYTES = re.compile(UTF8.encode() + rb"{2,}")
 #: Characters that no single-byte reading of another encoding leaves out altogether.
-SUSPECT = re.compile("[^\x00-\x7f　-ヿ㐀-鿿가-힣ऀ-ॿ！-ﾟ‐-…※♪-♯]")
+_OTHER = "[^\x00-\x7f　-ヿ㐀-鿿가-힣ऀ-ॿ！-ﾟ‐-’“-„…※♪-♯​-‏⁠﻿]"
+SUSPECT = re.compile(_OTHER)
+#: What a character of several bytes leaves of them: two such characters side by side.
+SUSPECTS = re.compile(_OTHER + "{2}")
 #: Replacement characters, and private ones that a legacy table yields for unassigned bytes.
 LOSSY = re.compile("[\ufffd\ue000-\uf8ff]")
 
@@ -62,6 +65,27 @@ def _table(read: str) -> dict[int, int]:
 _tables = {r: _table(r) for r in SINGLE}
 
 
+def _class(read: str, first: range, second: range) -> re.Pattern:
+    """Characters whose two bytes in `read` lie in the ranges."""
+    found = []
+    for a in first:
+        for b in second:
+            try:
+                c = bytes([a, b]).decode(read)
+            except UnicodeDecodeError:
+                continue
+            if len(c) == 1 and c > "\x7f":
+                found.append(c)
+    return re.compile("[" + re.escape("".join(found)) + "]" if found else "(?!)")
+
+
+#: Signs of UTF-8 read in a double-byte encoding (its lead bytes and what follows them), and
+#: of Shift JIS (the lead bytes of kana). Correct text of the languages has few of the former.
+UTF8_SIGNS = {r: _class(r, range(0xE0, 0xF0), range(0x80, 0xC0)) for r in DOUBLE}
+SJIS_SIGNS = {r: _class(r, range(0x81, 0x84), range(0x40, 0xFD)) for r in DOUBLE}
+HALF = re.compile("[ｦ-ﾟ]")
+
+
 def classes(c: str) -> int:
     o = ord(c)
     if o < 0x80:
@@ -79,11 +103,21 @@ def classes(c: str) -> int:
 START = 21
 
 
+class _Classes(dict):
+    def __missing__(self, o: int) -> str:
+        self[o] = chr(classes(chr(o)))
+        return self[o]
+
+
+_classes = _Classes()
+
+
 def char_counts(text: str, into: Counter, sign: int = 1) -> None:
-    p = START
-    for c in text:
-        into[(p, c)] += sign
-        p = classes(c)
+    pairs = zip(chr(START) + text.translate(_classes), text)
+    if sign > 0:
+        into.update(pairs)
+    else:
+        into.subtract(pairs)
 
 
 class Model:
@@ -193,8 +227,12 @@ def readings(text: str) -> dict[str, str]:
     if text.isascii():
         return out
     if SUSPECT.search(text):
+        utf8 = bool(SUSPECTS.search(text))
+        much = len(SUSPECT.findall(text)) * 4 >= len(text)
         for r in SINGLE:
             for t in TRUE:
+                if not (utf8 if t == "utf-8" else much):
+                    continue
                 got = _undo_single(text, t, r)
                 if got is not None and got != text:
                     out[f"{t}>{r}"] = got
@@ -202,9 +240,14 @@ def readings(text: str) -> dict[str, str]:
                     while t == "utf-8" and n < 3 and (more := _undo_single(again, t, r)) not in (None, again):
                         again, n = more, n + 1
                         out[f"{t}>{r} x{n}"] = again
+    half = bool(HALF.search(text))
+    wide = sum(c > "\x7f" for c in text)
     for r in DOUBLE:
+        signs = {"utf-8": half and r == "cp932" or len(UTF8_SIGNS[r].findall(text)) >= 2}
+        signs["cp932"] = len(SJIS_SIGNS[r].findall(text)) * 3 >= wide
+        signs["euc_jp"] = signs["gb18030"] = half or bool(LOSSY.search(text))
         for t in TRUE:
-            if t != r and (got := _undo_double(text, t, r)) not in (None, text):
+            if t != r and signs[t] and (got := _undo_double(text, t, r)) not in (None, text):
                 out[f"{t}>{r}"] = got
     return out
 
@@ -217,7 +260,7 @@ def _counted(rows: DataFrame) -> DataFrame:
         for b in batches:
             for t in b["text"]:
                 c.char_counts(t, n)
-        yield pd.DataFrame([(p, c_, float(v)) for (p, c_), v in n.items()], columns=["p", "c", "n"])
+        yield pd.DataFrame([(ord(p), c_, float(v)) for (p, c_), v in n.items()], columns=["p", "c", "n"])
 
     return rows.select("text").mapInPandas(count, "p int, c string, n double").groupBy("p", "c").agg(F.sum("n").alias("n"))
 
@@ -299,7 +342,7 @@ def repair(rows: DataFrame, rounds: int = 2, shrink: float = 50.0, threshold: fl
                 c.char_counts(t, n, -1)
                 if r:
                     c.char_counts(r, n, 1)
-        yield pd.DataFrame([(p, c_, float(v)) for (p, c_), v in n.items()], columns=["p", "c", "n"])
+        yield pd.DataFrame([(ord(p), c_, float(v)) for (p, c_), v in n.items()], columns=["p", "c", "n"])
 
     best = w.groupBy("row_key", "field").agg(F.max_by(F.struct("text", "restored"), "post").alias("b")).select("b.*")
     for r in best.mapInPandas(moved, "p int, c string, n double").groupBy("p", "c").agg(F.sum("n").alias("n")).collect():

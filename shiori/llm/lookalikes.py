@@ -86,8 +86,13 @@ def _to_katakana(text: str, i: int) -> str | None:
         if c in NUMERALS and (right == "つ" or r != "h" and c != "一"):
             return None
         return None if c == "一" and left == "ー" else k
-    if r == "k" and k != "ー" and l in ("", "o", "h"):
-        return k
+    if r == "k" and k != "ー":
+        # look-alikes before it belong to the same run
+        j = i
+        while j and text[j - 1] in HAN_KATA and text[j - 1] not in NUMERALS:
+            j -= 1
+        if not j or _script(text[j - 1]) in "oh":
+            return k
     return None
 
 

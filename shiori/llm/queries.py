@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiori.llm.common import line_key, lines_once, table
-from shiori.session import settle, ship
+from shiori.session import settle, ship, small, stored
 
 
 def _work_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +58,8 @@ def _well_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and examples (row_key, field, text) but for those read in a wrong encoding."""
     from shiori.llm.charsets import repair
 
-    rows = _texts_for_charsets(spark, sf_dir)
-    cases = repair(rows).select("row_key", "field")
+    rows = stored(_texts_for_charsets(spark, sf_dir))
+    cases = small(repair(rows).select("row_key", "field"))
     return rows.where("field != 'documents_src'").select("row_key", "field", "text").join(cases, ["row_key", "field"], "left_anti")
 
 
@@ -67,7 +67,7 @@ def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records read in a wrong encoding, with chain, posterior and restored text."""
     from shiori.llm.charsets import repair
 
-    return repair(_texts_for_charsets(spark, sf_dir)).withColumnRenamed("field", "src_table")
+    return repair(stored(_texts_for_charsets(spark, sf_dir))).withColumnRenamed("field", "src_table")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +111,7 @@ def _sentence_model(texts: DataFrame, spark: SparkSession, sf_dir: str) -> dict:
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shiori.llm.sentences import boundaries
 
-    texts = settle(_sentence_texts(spark, sf_dir))
+    texts = _sentence_texts(spark, sf_dir)
     return boundaries(texts, _sentence_model(texts, spark, sf_dir), ["src_table", "row_key"])
 
 
@@ -119,7 +119,7 @@ def p6_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentence units of every line, example and document."""
     from shiori.llm.sentences import units
 
-    texts = settle(_sentence_texts(spark, sf_dir))
+    texts = _sentence_texts(spark, sf_dir)
     model = _sentence_model(texts, spark, sf_dir)
     return units(texts.unionByName(_document_texts(spark, sf_dir)), model, ["src_table", "row_key"])
 
