@@ -29,6 +29,9 @@ LOSSY_WEIGHT = 25.0
 #: Distinct characters a smoothed model reserves room for.
 ROOM = 150_000.0
 
+#: Replacement characters, and private ones that a legacy table yields for unassigned bytes.
+LOSSY = re.compile("[\ufffd\ue000-\uf8ff]")
+
 UTF8 = r"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})"
 RUNS = {
     "utf-8": re.compile(UTF8 + "+"),
@@ -42,8 +45,6 @@ _OTHER = "[^\x00-\x7f　-ヿ㐀-鿿가-힣ऀ-ॿ！-ﾟ‐-’“-„…※♪-
 SUSPECT = re.compile(_OTHER)
 #: What a character of several bytes leaves of them: two such characters side by side.
 SUSPECTS = re.compile(_OTHER + "{2}")
-#: Replacement characters, and private ones that a legacy table yields for unassigned bytes.
-LOSSY = re.compile("[\ufffd\ue000-\uf8ff]")
 
 
 def _table(read: str) -> dict[int, int]:
@@ -84,6 +85,10 @@ def _class(read: str, first: range, second: range) -> re.Pattern:
 UTF8_SIGNS = {r: _class(r, range(0xE0, 0xF0), range(0x80, 0xC0)) for r in DOUBLE}
 SJIS_SIGNS = {r: _class(r, range(0x81, 0x84), range(0x40, 0xFD)) for r in DOUBLE}
 HALF = re.compile("[ｦ-ﾟ]")
+KANA = re.compile("[ぁ-ヿ]")
+#: Any sign at all, in one pass: most texts have none.
+TRACES = re.compile("[" + "".join(p.pattern[1:-1] for p in [*UTF8_SIGNS.values(), HALF, LOSSY] if p.pattern != "(?!)") + "]")
+SJIS_ANY = re.compile("[" + "".join(p.pattern[1:-1] for p in SJIS_SIGNS.values() if p.pattern != "(?!)") + "]")
 
 
 def classes(c: str) -> int:
@@ -240,11 +245,15 @@ def readings(text: str) -> dict[str, str]:
                     while t == "utf-8" and n < 3 and (more := _undo_single(again, t, r)) not in (None, again):
                         again, n = more, n + 1
                         out[f"{t}>{r} x{n}"] = again
+    traces = TRACES.search(text)
+    odd = SJIS_ANY.search(text) and len(KANA.findall(text)) * 4 < len(text)
+    if not traces and not odd:
+        return out
     half = bool(HALF.search(text))
     wide = sum(c > "\x7f" for c in text)
     for r in DOUBLE:
         signs = {"utf-8": half and r == "cp932" or len(UTF8_SIGNS[r].findall(text)) >= 2}
-        signs["cp932"] = len(SJIS_SIGNS[r].findall(text)) * 3 >= wide
+        signs["cp932"] = odd and len(SJIS_SIGNS[r].findall(text)) * 3 >= wide
         signs["euc_jp"] = signs["gb18030"] = half or bool(LOSSY.search(text))
         for t in TRUE:
             if t != r and signs[t] and (got := _undo_double(text, t, r)) not in (None, text):
