@@ -25,6 +25,8 @@ from shiori.session import settle, small
 # Look-alike letters of other scripts, and the Latin letter each looks like.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮаеѕіјорсухһԁԛԝ", "ABESIJKMHOPCTYXYaesijopcyxhdqw"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονα", "ABEZHIKMNOPTYXova"))
+# Less exact look-alikes, which count in tokens of mixed scripts only.
+LOOSE = dict(zip("кмтвнгпиьяіρικχυγητωεβμ", "kmtbhrnubRipikxuyntwebu"))
 # Katakana and the ideograph, hiragana or dash that looks like it.
 KATA_HAN = dict(zip("ニカロハエタトミチヌオムヒセー", "二力口八工夕卜三千又才厶匕七一"))
 HIRA_KATA = dict(zip("へべぺり", "ヘベペリ"))
@@ -139,7 +141,7 @@ def letters_spelling(token: str) -> str:
     own = {"g" if "Ͱ" <= c <= "Ͽ" else "y" if "Ѐ" <= c <= "ԯ" else "l" for c in token}
     if len(own) < 2:
         return token
-    to = {"l": CYRILLIC | GREEK, "y": {v: k for k, v in CYRILLIC.items()}, "g": {v: k for k, v in GREEK.items()}}
+    to = {"l": LOOSE | CYRILLIC | GREEK, "y": {v: k for k, v in CYRILLIC.items()}, "g": {v: k for k, v in GREEK.items()}}
     best = None
     for s in "lyg":
         spelt = "".join(c if ("g" if "Ͱ" <= c <= "Ͽ" else "y" if "Ѐ" <= c <= "ԯ" else "l") == s else to[s].get(c, "\0") for c in token)
