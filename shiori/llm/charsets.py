@@ -183,6 +183,27 @@ def _undo_single(text: str, true: str, read: str) -> str | None:
     return "".join([*out, text[last:]]) if changed else None
 
 
+def _two_codes() -> dict[str, bytes]:
+    """Characters that cp932 has twice, with the code that encoding doesn't give."""
+    out = {}
+    for a in range(0xFA, 0xFD):
+        for b in range(0x40, 0xFD):
+            try:
+                c = bytes([a, b]).decode("cp932")
+            except UnicodeDecodeError:
+                continue
+            if len(c) == 1:
+                own = c.encode("cp932")
+                pairs = [bytes([a, b])] if own != bytes([a, b]) else [bytes([x, y]) for x in (0xED, 0xEE) for y in range(0x40, 0xFD) if bytes([x, y]).decode("cp932", "replace") == c]
+                if pairs:
+                    out[c] = pairs[0]
+    return out
+
+
+_twice = _two_codes()
+TWICE = re.compile("[" + re.escape("".join(_twice)) + "]")
+
+
 def _undo_double(text: str, true: str, read: str) -> str | None:
     whole = text.encode(read, "replace")
     if true == "utf-8":
@@ -214,6 +235,10 @@ def _undo_double(text: str, true: str, read: str) -> str | None:
             out += [text[last:at[a]], dec]
             last, n = at[b], n + 1
         return "".join([*out, text[last:]]) if n else None
+    if read == "cp932" and TWICE.search(text):
+        whole = TWICE.sub("\0", text).encode(read, "replace")
+        for c in TWICE.findall(text):  # the other code of characters that have two
+            whole = whole.replace(b"\0", _twice[c], 1)
     dec = whole.decode(true, "replace")
     bad = dec.count("�") + whole.count(b"?") - text.count("?")
     if bad * 3 > len(dec):

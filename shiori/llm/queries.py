@@ -220,23 +220,16 @@ select field_name, term, occurrences, records,
 from f, n
 """
 
-P4_SQL = """
-with l as (
-  select doc_id, line_no, min(text) as text, min(start_ms) as start_ms, min(end_ms) as end_ms
-  from lines group by doc_id, line_no),
-k as (select *, regexp_replace(text, '[^\\p{L}\\p{N}\\p{M}]', '', 'g') as norm from l),
-b as (select *, lag(norm) over (partition by doc_id order by line_no) as before from k),
-j as (
-  select *, case when norm is null or before is null then 1 when norm = before then 0
-    when abs(length(norm) - length(before)) > greatest(length(norm), length(before)) // 10 then 1
-    when levenshtein(norm, before) <= greatest(length(norm), length(before)) // 10 then 0 else 1 end as cut from b),
-g as (select *, sum(cut) over (partition by doc_id order by line_no) as grp from j)
-select doc_id, cast(min(line_no) as int) as first_line_no, cast(max(line_no) as int) as last_line_no,
-       count(*) as n_lines, max(end_ms) - min(start_ms) as duration_ms
-from g group by doc_id, grp having count(*) >= 2
+P7_NGRAMS_SQL = """
+with m as (select distinct doc_id, line_no, token_pos, word from matches where word is not null),
+w as (select doc_id, line_no, word as a, lead(word, 1) over l as b, lead(word, 2) over l as c from m
+      window l as (partition by doc_id, line_no order by token_pos, word)),
+g as (select doc_id, line_no, a as ngram, 1 as n from w
+      union all select doc_id, line_no, a || ' ' || b, 2 from w where b is not null
+      union all select doc_id, line_no, a || ' ' || b || ' ' || c, 3 from w where c is not null)
+select ngram, n, count(*) as occurrences, count(distinct (doc_id, line_no)) as records from g group by ngram, n
 """
 
-
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -254,5 +247,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "p7_terms": P7_TERMS_SQL,
+        "p7_word_ngrams": P7_NGRAMS_SQL,
         "p7_found": f"select field_name, term, mark from ({P7_TERMS_SQL}) where mark is not null",
     }
