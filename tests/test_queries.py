@@ -55,3 +55,27 @@ def test_partitions_do_not_matter(spark, name):
         out.append(rows(df, sorted(df.columns)))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert out[0] == out[1]
+
+
+def test_diverse_examples_equal_picking_one_by_one(spark):
+    from shiori.plans.sources import _scored
+
+    rows = _scored(spark, SF).toPandas()
+    want = set()
+    for word, g in rows.groupby("word"):
+        left = sorted(g.itertuples(), key=lambda r: (r.score, r.rank), reverse=True)
+        sources, sentences, place = set(), set(), 0
+        while left and place < 5:
+            unique = [r for r in left if r.dup not in sentences]
+            pool = [r for r in unique if (r.source_type, r.source_title) not in sources] or unique
+            if not pool:
+                break
+            best = pool[0]
+            place += 1
+            want.add((word, place, best.example_id))
+            sources.add((best.source_type, best.source_title))
+            sentences.add(best.dup)
+            left.remove(best)
+    # the query fills up after all new sources, so places may differ, the sets may not
+    got = catalog.queries()["example_diverse_topk"](spark, SF).toPandas()
+    assert {(w, e) for w, _, e in want} == set(zip(got["word"], got["example_id"]))
