@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiori.session import settle, small
+from shiori.session import settle, small, stored
 
 # Look-alike letters of other scripts, and the Latin letter each looks like.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮаеѕіјорсухһԁԛԝ", "ABESIJKMHOPCTYXYaesijopcyxhdqw"))
@@ -188,7 +188,7 @@ def normalise(rows: DataFrame) -> DataFrame:
             suspects = [sorted({w for w in k.TOKEN.findall(h) if k.latin_of(w)}) if k.FOREIGN.search(h) else [] for h in house]
             yield b.assign(house_text=house, suspects=suspects)
 
-    first = settle(rows.where("text is not null").select("row_key", "field", "text").mapInPandas(run, "row_key string, field string, text string, house_text string, suspects array<string>"))
+    first = stored(rows.where("text is not null").select("row_key", "field", "text").mapInPandas(run, "row_key string, field string, text string, house_text string, suspects array<string>"))
     listed = first.select(F.explode("suspects").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
     @F.pandas_udf("string")
