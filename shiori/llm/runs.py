@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shiori.session import settle
+
 BLOCK = 4096
 #: Cost of a boundary; a tolerated change costs less, an intolerable one more than any penalty saved.
 PENALTY = 1.0
@@ -108,12 +110,16 @@ def collapse_runs(lines: DataFrame, share: float = 0.1, block: int = BLOCK) -> D
     solved = here.groupBy("doc_id", "blk").agg(ev).mapInPandas(
         _solve, "doc_id string, blk long, first_line_no long, last_line_no long, n int, t0 long, t1 long, head boolean, tail boolean, joins boolean"
     )
-    chained = Window.partitionBy("doc_id").orderBy("first_line_no")
-    edges = solved.withColumn("grp", F.when(F.col("head") | F.col("tail"), F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(chained.partitionBy("doc_id", F.col("head") | F.col("tail")))))
-    key = F.coalesce(F.concat(F.lit("e"), F.col("grp").cast("string")), F.concat(F.lit("i"), F.col("first_line_no").cast("string")))
-    runs = edges.withColumn("key", key).groupBy("doc_id", "key").agg(
+    solved = settle(solved)
+    # only segments at block edges, two a block at most, are chained along the entity
+    at_edge = F.col("head") | F.col("tail")
+    along = Window.partitionBy("doc_id").orderBy("first_line_no")
+    edges = solved.where(at_edge).withColumn("grp", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(along))
+    joined = edges.groupBy("doc_id", "grp").agg(
         F.min("first_line_no").alias("first_line_no"), F.max("last_line_no").alias("last_line_no"), F.sum("n").alias("n_lines"), F.min("t0").alias("t0"), F.max("t1").alias("t1")
-    )
+    ).drop("grp")
+    inside = solved.where(~at_edge).select("doc_id", "first_line_no", "last_line_no", F.col("n").cast("long").alias("n_lines"), "t0", "t1")
+    runs = joined.unionByName(inside)
     return runs.where("n_lines >= 2").select(
         "doc_id", F.col("first_line_no").cast("int").alias("first_line_no"), F.col("last_line_no").cast("int").alias("last_line_no"), "n_lines", (F.col("t1") - F.col("t0")).alias("duration_ms")
     )
