@@ -109,7 +109,7 @@ def model():
 @pytest.mark.parametrize("text, want", [
     ("読みました。見ます。", [6]), ("「読みました。見ます。」と言った。", []), ("「読みました。」「見ます。」", [8]), ("「読みました。」ハナさん、見ますか？", [8]), ("『待って！本』という曲", []),
     ("Dr. Smith came at 3.5 p.m. today. He left.", [34]), ("- 読みました\n- 見ます", [8]), ("本を\n読みました。", []), ("読みました♪ 今日は見ます", [7]), ("あの…本を、…見ます。", []), ("見ます。 The girl ran.", [5]),
-    ("“Come and look!” said Mrs. Ito. She left.", [32]), ("Am 3. Mai kam er. Gut.", [18]), ("", []),
+    ("Ｄr. ハナが見ます。", []), ("Мr. ハナが見ます。", []), ("Ѕt.ハナが見ます。", []), ("“Come and look!” said Mrs. Ito. She left.", [32]), ("Am 3. Mai kam er. Gut.", [18]), ("", []),
 ])
 def test_cuts(model, text, want):
     assert sentences.cuts(text, model) == want
