@@ -45,6 +45,8 @@ _OTHER = "[^\x00-\x7f　-ヿ㐀-鿿가-힣ऀ-ॿ！-ﾟ‐-’“-„…※♪-
 SUSPECT = re.compile(_OTHER)
 #: What a character of several bytes leaves of them: two such characters side by side.
 SUSPECTS = re.compile(_OTHER + "{2}")
+#: What a stretch of two-byte characters leaves wherever it stands: suspects at most three apart.
+CLUSTER = re.compile(_OTHER + "(?s:.){0,2}" + _OTHER)
 
 
 def _table(read: str) -> dict[int, int]:
@@ -137,18 +139,101 @@ class Model:
             self.prev[p] += n
         self.total = sum(self.uni.values()) + 0.1 * ROOM
         self.memo: dict = {}
-
-    def score(self, text: str) -> float:
-        p, s, memo = START, 0.0, self.memo
+        self.lifts: list[_Lift] = []
+        self.rarity = _Rarity(self)
+        #: Mean of -log P(character) over the corpus.
+        self.usual = sum(n * self.rarity[c] for c, n in self.uni.items()) / self.total
+
+    def of(self, p: int, c: str) -> tuple[float, int]:
+        """(log P(c | class p), class of c)."""
+        v = self.memo.get((p, c))
+        if v is None:
+            back = (self.uni.get(c, 0) + 0.1) / self.total
+            v = self.memo[(p, c)] = (math.log((self.pair.get((p, c), 0) + 20 * back) / (self.prev.get(p, 0) + 20)), classes(c))
+        return v
+
+    def score(self, text: str, p: int = START) -> float:
+        s, memo, of = 0.0, self.memo, self.of
         for c in text:
-            v = memo.get((p, c))
-            if v is None:
-                back = (self.uni.get(c, 0) + 0.1) / self.total
-                v = memo[(p, c)] = (math.log((self.pair.get((p, c), 0) + 20 * back) / (self.prev.get(p, 0) + 20)), classes(c))
+            v = memo.get((p, c)) or of(p, c)
             s += v[0]
             p = v[1]
         return s
 
+    def strange(self, text: str) -> bool:
+        """Whether any stretch would be more usual under any chain of two double-byte encodings.
+
+        This sums what single characters gain, so it is cheap and knows no edges; it only
+        spares the texts without any such stretch the search for it.
+        """
+        if text.isascii():
+            return False
+        if not self.lifts:
+            self.lifts = [_Lift(self, t, r) for r in DOUBLE for t in TRUE[1:] if t != r]
+            self.top = _Top(self.lifts)
+        for lift in (self.top, *self.lifts):
+            run = 0.0
+            for c in text:
+                run += lift[c]
+                if run < 0:
+                    run = 0.0
+                elif run > LIFT:
+                    break
+            if lift is self.top and run <= LIFT:
+                return False
+            if lift is not self.top and run > LIFT:
+                return True
+        return False
+
+
+class _Rarity(dict):
+    def __init__(self, model: Model):
+        self.model = model
+
+    def __missing__(self, c: str) -> float:
+        self[c] = -math.log((self.model.uni.get(c, 0) + 0.1) / self.model.total)
+        return self[c]
+
+
+class _Top(dict):
+    """The most a character gains under any chain: no text gains more by one of them."""
+
+    def __init__(self, lifts: list[_Lift]):
+        self.lifts = lifts
+
+    def __missing__(self, c: str) -> float:
+        self[c] = max(x[c] for x in self.lifts)
+        return self[c]
+
+
+class _Lift(dict):
+    """What a character gains under a chain, if a character of the restored text begins with it."""
+
+    def __init__(self, model: Model, true: str, read: str):
+        self.model, self.true, self.read = model, true, read
+
+    def __missing__(self, c: str) -> float:
+        rarity = self.model.rarity
+        x = _encoded[self.read][c]
+        if x == b"\xff":
+            self[c] = -1e9
+        elif c < "\x80":
+            self[c] = 0.0
+        else:
+            codes, got, o = _codes[self.true], rarity[c], 0
+            while o < len(x):
+                n = 2 if len(x) - o > 1 and x[o : o + 2] in codes else 1
+                d = codes.get(x[o : o + n])
+                # half a character: its other half stands in the next one
+                got -= rarity[d] if d else self.model.usual if o + 1 == len(x) and x[o] in _leads[self.true] else 1e9
+                o += n
+            self[c] = got
+        return self[c]
+
+
+#: Nats below which the single characters of a stretch tell nothing; a case needs more from the pairs.
+LIFT = 6.0
+
 
 #: Seven-bit Japanese between its escape sequences, the escape characters kept or lost.
 SHIFTED = re.compile(r"\x1b?\$[@B]((?:[\x21-\x7e]{2})+?)(?:\x1b?\([BJ]|$)")
@@ -161,15 +246,46 @@ def _shifted(m: re.Match) -> str:
         return m.group()
 
 
+#: Ends a stretch of characters of several bytes, which leave no three ASCII characters in a row.
+APART = re.compile("[\x20-\x7e]{3,}")
+
+
+def _undo_parts(text: str, true: str, read: str, model: Model | None) -> str | None:
+    """Undoes every stretch of high bytes by itself; with a model, only where it gains."""
+    mapped = text.translate(_tables[read])
+    last, out = 0, []
+    for m in RUNS[true].finditer(mapped):
+        a, b = m.span()
+        edges = [a, *(x for e in APART.finditer(mapped, a, b) for x in (e.start() + 1, e.end())), b]
+        for a, b in zip(edges[::2], edges[1::2]):
+            high = [i for i in range(a, b) if mapped[i] >= "\x80"]
+            if not high:
+                continue
+            top, best = 0.0, None
+            # a correct character may stand before the stretch or after it
+            for start in (high[0], *(high[1:2] if model else ())):
+                for end in {min(b, high[-1] + 2), high[-1] + 1, *([high[-1]] if model else [])}:
+                    if end <= start:
+                        continue
+                    try:
+                        dec = mapped[start:end].encode("latin-1").decode(true)
+                    except UnicodeError:
+                        continue
+                    p = classes(text[start - 1]) if start else START
+                    gain = model.score(dec, p) - model.score(text[start:end], p) if model else float(end)
+                    if gain > top:
+                        top, best = gain, (start, end, dec)
+            if best:
+                out += [text[last : best[0]], best[2]]
+                last = best[1]
+    return "".join([*out, text[last:]]) if out else None
+
+
 def _undo_single(text: str, true: str, read: str) -> str | None:
     mapped = text.translate(_tables[read])
     changed, last, out = False, 0, []
     for m in RUNS[true].finditer(mapped):
         a, b = m.span()
-        if true != "utf-8":
-            # only what lies between the first and the last high byte is read again
-            high = [i for i in range(a, b) if mapped[i] >= "\x80"]
-            a, b = high[0], max(high[-1] + 1, min(b, high[-1] + 2))
         try:
             dec = mapped[a:b].encode("latin-1").decode(true)
         except UnicodeError:
@@ -248,8 +364,113 @@ def _undo_double(text: str, true: str, read: str) -> str | None:
     return dec if kana * 4 >= len(dec) and had * 3 < kana * 2 else None
 
 
-def readings(text: str) -> dict[str, str]:
-    """{chain: restored text} of the chains that can be undone."""
+def _decoded(true: str) -> dict[bytes, str]:
+    """The characters of one to three bytes of an encoding."""
+    codes = [bytes([a]) for a in range(256)] + [bytes([a, b]) for a in range(0x81, 0xFF) for b in range(0x40, 0xFF)]
+    codes += [bytes([0x8F, a, b]) for a in range(0xA1, 0xFF) for b in range(0xA1, 0xFF)] if true == "euc_jp" else []
+    out = {}
+    for x in codes:
+        try:
+            c = x.decode(true)
+        except UnicodeDecodeError:
+            continue
+        if len(c) == 1:
+            out[x] = c
+    return out
+
+
+_codes = {t: _decoded(t) for t in TRUE[1:]}
+
+
+_leads = {t: {x[0] for x in codes if len(x) > 1} for t, codes in _codes.items()}
+
+
+class _Encoded(dict):
+    """The bytes of characters; one no encoding has, where the reading can't have made it."""
+
+    def __init__(self, read: str):
+        self.read = read
+
+    def __missing__(self, c: str) -> bytes:
+        try:
+            self[c] = _twice[c] if self.read == "cp932" and c in _twice else c.encode(self.read)
+        except UnicodeEncodeError:
+            self[c] = b"\xff"
+        return self[c]
+
+
+_encoded = {r: _Encoded(r) for r in DOUBLE}
+
+
+def _undo_stretches(text: str, true: str, read: str, model: Model) -> str | None:
+    """Undoes the stretches whose restored characters the model prefers (Viterbi).
+
+    A stretch may begin and end between any two characters; each such place inside the text
+    costs the logarithm of the number of places.
+    """
+    raw = [*map(_encoded[read].__getitem__, text)]
+    stream, codes, of, cost = b"".join(raw), _codes[true], model.of, math.log(len(text) + 1)
+    size = len(stream)
+    kept: list = [None] * (size + 1)  # (value, class, path, character) of texts that end in a character kept
+    undone: list = [None] * (size + 1)
+    kept[0] = undone[0] = (0.0, START, None, "")
+    o = 0
+    for c, x in zip(text, raw):
+        k, u = kept[o], undone[o]
+        if u is None or k[0] - cost > u[0]:
+            undone[o] = (k[0] - cost, *k[1:])
+        elif u[0] - cost > k[0]:
+            k = (u[0] - cost, *u[1:])
+        v = of(k[1], c)
+        kept[o + len(x)] = (k[0] + v[0], v[1], k, c)
+        for at in range(o, o + len(x)):
+            u = undone[at]
+            if u is None:
+                continue
+            for n in (1, 2, 3, 4):
+                code = stream[at : at + n]
+                d = codes.get(code)
+                if n == 4 and d is None and true == "gb18030" and len(code) == 4 and code[0] > 0x80 and 0x30 <= code[1] <= 0x39:
+                    d = code.decode(true, "replace")
+                    d = d if len(d) == 1 and d != "\ufffd" else None
+                if d is not None and at + n <= size:
+                    v = of(u[1], d)
+                    old = undone[at + n]
+                    if old is None or u[0] + v[0] > old[0]:
+                        undone[at + n] = (u[0] + v[0], v[1], u, d)
+                    break
+        o += len(x)
+    k, u = kept[size], undone[size]
+    node = u if u is not None and u[0] > k[0] else k
+    out = []
+    while node is not None:
+        out.append(node[3])
+        node = node[2]
+    got = "".join(reversed(out))
+    return got if got != text else None
+
+
+def edges(chain: str, text: str, restored: str) -> float:
+    """What a stretch inside correct text must gain beyond others, as it might lie anywhere.
+
+    A single character is no stretch: rare ones would be exchanged for usual ones.
+    """
+    if chain.startswith(("utf-8", "iso2022")):
+        return 0.0
+    most = min(len(text), len(restored))
+    first = next((i for i in range(most) if text[i] != restored[i]), most)
+    most -= first
+    last = next((i for i in range(most) if text[-1 - i] != restored[-1 - i]), most)
+    if len(restored) - first - last < 2:
+        return math.inf
+    return 0.0 if text[:first].isascii() and text[len(text) - last :].isascii() else 2 * math.log(len(text) + 1)
+
+
+def readings(text: str, model: Model | None = None) -> dict[str, str]:
+    """{chain: restored text} of the chains that can be undone.
+
+    With a character model, stretches of two-byte characters are found by what they gain.
+    """
     out: dict[str, str] = {}
     got = SHIFTED.sub(_shifted, text)
     if got != text:
@@ -258,18 +479,23 @@ def readings(text: str) -> dict[str, str]:
         return out
     if SUSPECT.search(text):
         utf8 = bool(SUSPECTS.search(text))
-        much = len(SUSPECT.findall(text)) * 4 >= len(text)
+        much = len(SUSPECT.findall(text)) * 4 >= len(text) or bool(CLUSTER.search(text))
         for r in SINGLE:
             for t in TRUE:
                 if not (utf8 if t == "utf-8" else much):
                     continue
-                got = _undo_single(text, t, r)
+                got = _undo_single(text, t, r) if t == "utf-8" else _undo_parts(text, t, r, model)
                 if got is not None and got != text:
                     out[f"{t}>{r}"] = got
                     again, n = got, 1
                     while t == "utf-8" and n < 3 and (more := _undo_single(again, t, r)) not in (None, again):
                         again, n = more, n + 1
                         out[f"{t}>{r} x{n}"] = again
+    if model and model.strange(text):
+        for r in DOUBLE:
+            for t in TRUE[1:]:
+                if t != r and (got := _undo_stretches(text, t, r, model)) is not None:
+                    out[f"{t}>{r}"] = got
     traces = TRACES.search(text)
     odd = SJIS_ANY.search(text) and len(KANA.findall(text)) * 4 < len(text)
     if not traces and not odd:
@@ -282,7 +508,9 @@ def readings(text: str) -> dict[str, str]:
         signs["euc_jp"] = signs["gb18030"] = half or bool(LOSSY.search(text))
         for t in TRUE:
             if t != r and signs[t] and (got := _undo_double(text, t, r)) not in (None, text):
-                out[f"{t}>{r}"] = got
+                had = out.get(f"{t}>{r}")
+                if had is None or model.score(got) > model.score(had):
+                    out[f"{t}>{r}"] = got
     return out
 
 
@@ -311,9 +539,9 @@ def _likelihoods(rows: DataFrame, counts: dict, least: float) -> DataFrame:
             for key, src, field, t in zip(b["row_key"], b["source"], b["field"], b["text"]):
                 lost = len(c.LOSSY.findall(t))
                 base = None
-                for chain, restored in c.readings(t).items():
+                for chain, restored in c.readings(t, model).items():
                     base = model.score(t) if base is None else base
-                    gain = model.score(restored) - base
+                    gain = model.score(restored) - base - c.edges(chain, t, restored)
                     if gain > least:
                         out.append((key, src, field, chain, gain, t, restored))
                 if lost:

@@ -73,6 +73,32 @@ def test_wrong_reading_is_undone(true, read):
     assert text in charsets.readings(bad).values()
 
 
+@pytest.fixture(scope="module")
+def letters():
+    texts = ["彼女は昨日の夜、駅前の小さな喫茶店で古い友達に会いました。", "明日も約束を守るつもりです。", "青い王国の本を読みます。", "我们明天一起去图书馆看书。", "他们今天在图书馆看书。", "La fille a montré l'été déjà passé.", "One two three.S01E02.1080p.WEB-DL.ja.srt"]
+    n = charsets.Counter()
+    for t in texts * 50:
+        charsets.char_counts(t, n)
+    return charsets.Model({(ord(p), c): v for (p, c), v in n.items()})
+
+
+def _best(text, model):
+    base = model.score(text)
+    return max(((model.score(t) - base - charsets.edges(c, text, t), t) for c, t in charsets.readings(text, model).items()), default=(0.0, None))
+
+
+@pytest.mark.parametrize("read", ["cp1252", "gb18030"])
+def test_misread_part_of_a_correct_text_is_undone(letters, read):
+    left, right = "彼女は昨日の夜、駅前の小さな喫茶店で古い友達に会いました。", "約束を守る"
+    gain, text = _best(left + right.encode("cp932").decode(read), letters)
+    assert gain > 8 and text == left + right
+
+
+def test_correct_texts_gain_nothing(letters):
+    for t in ["彼女は明日、駅前の喫茶店で友達に会います。", "La fille a déjà montré l'été.", "他们明天去图书馆。"]:
+        assert _best(t, letters)[0] < 5
+
+
 def test_seven_bit_and_double_reading():
     text = "春は友達と花の相談をします。"
     assert charsets.readings(text.encode("iso2022_jp").decode("ascii"))["iso2022_jp>ascii"] == text
