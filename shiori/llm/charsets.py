@@ -37,7 +37,7 @@ RUNS = {
     "utf-8": re.compile(UTF8 + "+"),
     "cp932": re.compile(r"(?:[\x81-\x9f\xe0-\xfc][\x40-\x7e\x80-\xfc]|[\xa1-\xdf]|[\x20-\x7e])*[\x81-\x9f\xe0-\xfc][\x40-\x7e\x80-\xfc](?:[\x81-\x9f\xe0-\xfc][\x40-\x7e\x80-\xfc]|[\xa1-\xdf]|[\x20-\x7e])*"),
     "euc_jp": re.compile(r"(?:[\xa1-\xfe]{2}|\x8e[\xa1-\xdf]|[\x20-\x7e])*[\xa1-\xfe]{2}(?:[\xa1-\xfe]{2}|\x8e[\xa1-\xdf]|[\x20-\x7e])*"),
-    "gb18030": re.compile(r"(?:[\xa1-\xfe]{2}|[\x20-\x7e])*[\xa1-\xfe]{2}(?:[\xa1-\xfe]{2}|[\x20-\x7e])*"),
+    "gb18030": re.compile(r"(?:[\x81-\xfe][\x40-\x7e\x80-\xfe]|[\x20-\x7e])*[\x81-\xfe][\x40-\x7e\x80-\xfe](?:[\x81-\xfe][\x40-\x7e\x80-\xfe]|[\x20-\x7e])*"),
 }
 UTF8_BYTES = re.compile(UTF8.encode() + rb"{2,}")
 #: Characters that no single-byte reading of another encoding leaves out altogether.

@@ -94,6 +94,15 @@ def test_misread_part_of_a_correct_text_is_undone(letters, read):
     assert gain > 8 and text == left + right
 
 
+@pytest.mark.parametrize("text, true, read", [
+    ("我们明天一起去图书馆看书。", "gb18030", "euc_jp"), ("他们今天在图书馆看书。", "gb18030", "cp932"), ("青い王国.S01E02.1080p.WEB-DL.ja.srt", "cp932", "gb18030"),
+])
+def test_misread_text_with_little_kana_is_undone(letters, text, true, read):
+    raw = text.encode(true).decode(read, "ignore")
+    gain, got = _best(raw, letters)
+    assert gain > 8 and (got == text or raw.encode(read) != text.encode(true))
+
+
 def test_correct_texts_gain_nothing(letters):
     for t in ["彼女は明日、駅前の喫茶店で友達に会います。", "La fille a déjà montré l'été.", "他们明天去图书馆。"]:
         assert _best(t, letters)[0] < 5
