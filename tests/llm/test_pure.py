@@ -58,6 +58,22 @@ def test_schedule_deviates_by_less_than_a_block(shares):
             assert abs(seen[k] - t * quota[k] / len(order)) < 1 + 1e-9
 
 
+@given(st.lists(st.integers(1, 400_000), min_size=1, max_size=9))
+@settings(max_examples=60, deadline=None)
+def test_mixture_never_drifts_over_many_periods(amounts):
+    give = {f"s{i}": g for i, g in enumerate(amounts)}
+    at = mixing.boundaries(give, 100, 50)
+    order = [x for a, b in zip(at, at[1:]) for x in mixing.period_order(give, a, b)]
+    assert [x[2] for x in order] == list(range(len(order)))
+    seen = dict.fromkeys(give, 0)
+    for s, k, t in order:
+        assert k == seen[s]
+        seen[s] += 1
+        if t < sum(amounts) // 100 - 50:
+            assert all(abs(seen[x] - (t + 1) * g / sum(amounts)) < 3 for x, g in give.items())
+    assert seen == {s: -(-g // 100) for s, g in give.items()}
+
+
 def test_allocation_caps_and_shares():
     got = mixing.allocate([("a", 0.5, 100, 1), ("b", 0.5, 1000, 4), ("c", 0.3, 0, 3)], 1000)
     assert got == {"a": 100.0, "b": 900.0}
