@@ -23,8 +23,9 @@ from shiori.functions.vector import mapped, paired
 from shiori.llm import titles
 from shiori.session import release, settle
 
-#: A word of a Latin title that is near a known name but not equal is taken for it only if this few records hold it.
-RARE_WORD = 30
+#: A word of a Latin title that is near a known name but not equal is taken for it if this few records hold it,
+#: or if it stands beside few other words for their number (sf0.1: common nouns 0.76 others a record and more).
+RARE_WORD, FEW_OTHERS = 30, 0.5
 ROUNDS, STEP, DAMPING = 12, 3, 0.3
 
 
@@ -59,26 +60,40 @@ _pieces = mapped(titles.pieces, "array<string>", [])
 _distance = paired(titles.distance, "int")
 
 
+def _counted(parsed: DataFrame) -> DataFrame:
+    """(core, n, named): Latin words, their records, and whether they may be names.
+
+    The records of a work or franchise hold the same few words beside its name, however many
+    they are; a common noun stands beside another name in nearly every record.
+    """
+    words = parsed.select("rid", F.explode("latin").alias("core"), F.concat("latin", "kata").alias("others"))
+    counts = words.groupBy("core").agg(F.countDistinct("rid").alias("n"))
+    often = counts.where(F.col("n") > RARE_WORD).select("core")
+    beside = words.join(often, "core", "left_semi").select("core", F.explode("others").alias("other")).where("core != other").distinct()
+    others = beside.groupBy("core").agg(F.count(F.lit(1)).alias("others"))
+    named = (F.col("n") <= RARE_WORD) | (F.coalesce("others", F.lit(0)) < FEW_OTHERS * F.col("n"))
+    return settle(counts.join(others, "core", "left").select("core", "n", named.alias("named")))
+
+
 def names_of(parsed: DataFrame) -> DataFrame:
     """(rid, core): the words of each record that are names of works.
 
-    A katakana word is one. A Latin word is one if it equals, or is a rare word next to, a
+    A katakana word is one. A Latin word is one if it equals, or may be a name and is next to, a
     katakana name of any record; so is a stretch of a title in hiragana. A record without
     any is known by its longest word.
     """
     kata = parsed.select("rid", F.explode("kata").alias("core"))
     runs = settle(parsed.select("rid", F.explode("hira").alias("run")).select("rid", "run", F.explode(_pieces("run")).alias("core")))
-    # a rare Latin word that is a stretch of a hiragana title elsewhere is a name as well, unless
+    # a Latin word that may be a name and is a stretch of a hiragana title elsewhere is a name as well, unless
     # it stands beside a katakana name somewhere, as common nouns do
     beside = parsed.where(F.size("kata") > 0).select(F.explode("latin").alias("core")).distinct()
-    counted = parsed.select(F.explode("latin").alias("core")).groupBy("core").agg(F.count(F.lit(1)).alias("n"))
-    spelt = counted.where((F.length("core") >= 8) & (F.col("n") <= RARE_WORD)).join(runs, "core", "left_semi").join(beside, "core", "left_anti").select("core")
+    counts = _counted(parsed)
+    spelt = counts.where((F.length("core") >= 8) & F.col("named")).join(runs, "core", "left_semi").join(beside, "core", "left_anti").select("core")
     known = settle(kata.select("core").union(spelt).distinct())
     known_keys = known.select(F.col("core").alias("name"), F.explode(_keys("core")).alias("key"))
     words = parsed.select("rid", F.explode("latin").alias("core"))
-    counts = words.groupBy("core").agg(F.count(F.lit(1)).alias("n"))
     exact = counts.join(known, "core", "left_semi").select("core")
-    rare = counts.where(F.col("n") <= RARE_WORD).where(F.length("core") >= 6).join(known, "core", "left_anti")
+    rare = counts.where("named").where(F.length("core") >= 6).join(known, "core", "left_anti")
     near = rare.select("core", F.explode(_keys("core")).alias("key")).join(known_keys.select("key").distinct(), "key", "left_semi").select("core")
     good = exact.union(near).distinct()
     latin = words.join(good, "core", "left_semi")

@@ -197,3 +197,12 @@ def test_works_match_across_scripts_and_remakes(spark):
     got = {(x.left_id, x.right_id): x.confidence for x in matching.match(spark.createDataFrame(rows, "rid long, tbl string, names array<string>, year int, episodes int")).collect()}
     assert {k for k, v in got.items() if v > 0.5} == {(1, 11), (2, 12), (2, 21), (12, 21), (3, 22)}
     assert matching.match(spark.createDataFrame([], "rid long, tbl string, names array<string>, year int, episodes int")).count() == 0
+
+
+WORKS = "rid long, tbl string, names array<string>, year int, episodes int"
+
+
+def test_names_that_many_records_hold_are_names(spark):
+    rows = [(i, "shows", ["はだぶふるだのきし"], 2000 + 2 * i, 12) for i in range(40)] + [(100 + i, "anime", ["Hadabufuruda no Kishi"], 2000 + 2 * i, 12) for i in range(40)]
+    got = {(x.left_id, x.right_id) for x in matching.match(spark.createDataFrame(rows, WORKS)).where("confidence > 0.5").collect()}
+    assert got == {(i, 100 + i) for i in range(40)}
