@@ -46,13 +46,13 @@ def parse(records: DataFrame) -> DataFrame:
                 kind = max(kinds, key=lambda k: (k != "main", kinds[k], k))
                 said = next((g["year"] for g in got if g["year"]), None)
                 pick = lambda k: sorted({w for g in got for w in g[k]})
-                out.append((rid, tbl, int(year) if pd.notna(year) else said, int(eps) if pd.notna(eps) else None, season, kind, pick("kata"), pick("latin"), pick("hira"), pick("han")))
-            f = pd.DataFrame(out, columns=["rid", "tbl", "year", "episodes", "season", "kind", "kata", "latin", "hira", "han"])
+                out.append((rid, tbl, int(year) if pd.notna(year) else said, int(eps) if pd.notna(eps) else None, season, kind, pick("kata"), pick("latin"), pick("hira"), pick("han"), pick("whole")))
+            f = pd.DataFrame(out, columns=["rid", "tbl", "year", "episodes", "season", "kind", "kata", "latin", "hira", "han", "whole"])
             for c in ("year", "episodes"):
                 f[c] = f[c].astype("Int64")
             yield f
 
-    return records.mapInPandas(run, "rid long, tbl string, year int, episodes int, season int, kind string, kata array<string>, latin array<string>, hira array<string>, han array<string>")
+    return records.mapInPandas(run, "rid long, tbl string, year int, episodes int, season int, kind string, kata array<string>, latin array<string>, hira array<string>, han array<string>, whole array<string>")
 
 
 _keys = mapped(titles.keys, "array<string>", [])
@@ -80,7 +80,7 @@ def names_of(parsed: DataFrame) -> DataFrame:
 
     A katakana word is one. A Latin word is one if it equals, or may be a name and is next to, a
     katakana name of any record; so is a stretch of a title in hiragana. A record without
-    any is known by its longest word.
+    any is known by its longest word, and one of ideographs alone by its whole title.
     """
     kata = parsed.select("rid", F.explode("kata").alias("core"))
     runs = settle(parsed.select("rid", F.explode("hira").alias("run")).select("rid", "run", F.explode(_pieces("run")).alias("core")))
@@ -107,7 +107,13 @@ def names_of(parsed: DataFrame) -> DataFrame:
     left = parsed.join(got.select("rid").distinct(), "rid", "left_anti")
     words_left = left.select("rid", F.explode(F.concat("latin", "hira")).alias("core"))
     last = words_left.withColumn("k", F.row_number().over(Window.partitionBy("rid").orderBy(F.length("core").desc(), "core"))).where("k = 1")
-    return settle(got.unionByName(last.select("rid", "core")))
+    got = settle(got.unionByName(last.select("rid", "core")))
+    # records without any such word, and those that hold one of their titles as well
+    titles_of = parsed.select("rid", F.explode("whole").alias("core"))
+    bare = titles_of.join(got.select("rid").distinct(), "rid", "left_anti").select("core")
+    bare_keys = bare.distinct().select(F.explode(_keys("core")).alias("key")).distinct()
+    near_bare = titles_of.select("core").distinct().select("core", F.explode(_keys("core")).alias("key")).join(bare_keys, "key", "left_semi").select("core").distinct()
+    return settle(got.unionByName(titles_of.join(near_bare, "core", "left_semi")))
 
 
 def pairs(parsed: DataFrame, cores: DataFrame) -> DataFrame:

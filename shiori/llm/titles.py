@@ -106,7 +106,7 @@ def ideographs(t: str) -> list[str]:
 
 
 def read(name: str) -> dict:
-    """season, kind, year, and the words of a name by script: kata, latin, hira."""
+    """season, kind, year, and the words of a name by script: kata, latin, hira; whole, if it has ideographs."""
     t = unicodedata.normalize("NFKC", name).lower().replace("_", " ")
     t = re.sub(r"[「」『』\"“”]", " ", t)
     year = None
@@ -135,4 +135,5 @@ def read(name: str) -> dict:
     kata = [kana(x) for x in re.findall(r"[ァ-ヺー]{3,}", t)]
     words = [latin(x) for x in re.findall(r"[a-zÀ-ɏ']+", t)]
     hira = [kana(x) for x in re.findall(r"[ぁ-ゖー]{4,}", t)] if not any(len(morae(x)) >= 4 for x in kata) else []
-    return {"han": ideographs(t), "season": season, "kind": kind, "year": year, "kata": [x for x in kata if len(x) >= 4], "latin": [x for x in words if x not in STOP and len(x) >= 3], "hira": hira}
+    whole = "".join(c for c in t if c.isalnum() or c == "ー")
+    return {"han": ideographs(t), "whole": [whole] if re.search("[㐀-鿿々]", whole) else [], "season": season, "kind": kind, "year": year, "kata": [x for x in kata if len(x) >= 4], "latin": [x for x in words if x not in STOP and len(x) >= 3], "hira": hira}

@@ -206,3 +206,9 @@ def test_names_that_many_records_hold_are_names(spark):
     rows = [(i, "shows", ["はだぶふるだのきし"], 2000 + 2 * i, 12) for i in range(40)] + [(100 + i, "anime", ["Hadabufuruda no Kishi"], 2000 + 2 * i, 12) for i in range(40)]
     got = {(x.left_id, x.right_id) for x in matching.match(spark.createDataFrame(rows, WORKS)).where("confidence > 0.5").collect()}
     assert got == {(i, 100 + i) for i in range(40)}
+
+
+def test_titles_of_ideographs_alone_match(spark):
+    rows = [(1, "shows", ["鬼滅の刃", None], 2019, 26), (2, "shows", ["夜想曲"], 2001, 12), (101, "anime", ["鬼滅の刃"], 2019, 26), (102, "anime", ["夜想曲", "Hadabufuruda"], 2001, 12), (103, "anime", ["雪国"], 2001, 12), (201, "jimaku", ["鬼滅の刃 [BD]"], None, 26)]
+    got = {(x.left_id, x.right_id) for x in matching.match(spark.createDataFrame(rows, WORKS)).where("confidence > 0.5").collect()}
+    assert got == {(1, 101), (1, 201), (101, 201), (2, 102)}
