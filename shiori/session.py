@@ -33,14 +33,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share. The cluster names it in spark.checkpoint.dir;
-    only where that is unset (tests, local mode) a temporary folder is made."""
+    """Folder all executors share. The cluster names it in spark.checkpoint.dir; only
+    where that is unset and all tasks run in this process a temporary folder is made."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     made = tempfile.mkdtemp(prefix="shiori-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -98,13 +101,45 @@ def release(spark: SparkSession) -> None:
 
 
 @contextmanager
-def without_adaptive(spark: SparkSession):
-    """Run small, fixed plans without adaptive execution, whose threads and plan versions
-    weigh on the driver in long loops. The caller splits hot keys itself."""
-    key = "spark.sql.adaptive.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
+def fixed_plans(spark: SparkSession, partitions: int):
+    """Run plans of known size with `partitions` shuffle partitions and without adaptive
+    execution, whose threads and plan versions weigh on the driver in long loops. The caller
+    splits hot keys itself."""
+    want = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(partitions)}
+    before = {k: spark.conf.get(k) for k in want}
+    for k, v in want.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, on whatever storage the path names."""
+    fs, p = _files(spark, path)
+    return fs.exists(p)
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """Make an empty folder, as a mark of a finished step."""
+    fs, p = _files(spark, path)
+    fs.mkdirs(p)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if there is no folder."""
+    fs, p = _files(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of a path the caller made."""
+    fs, p = _files(spark, path)
+    fs.delete(p, True)
