@@ -212,3 +212,85 @@ def test_titles_of_ideographs_alone_match(spark):
     rows = [(1, "shows", ["鬼滅の刃", None], 2019, 26), (2, "shows", ["夜想曲"], 2001, 12), (101, "anime", ["鬼滅の刃"], 2019, 26), (102, "anime", ["夜想曲", "Hadabufuruda"], 2001, 12), (103, "anime", ["雪国"], 2001, 12), (201, "jimaku", ["鬼滅の刃 [BD]"], None, 26)]
     got = {(x.left_id, x.right_id) for x in matching.match(spark.createDataFrame(rows, WORKS)).where("confidence > 0.5").collect()}
     assert got == {(1, 101), (1, 201), (101, 201), (2, 102)}
+
+
+IMPORTS = "import_id long, batch_no int, content_sha256 string, url string, body string, step string"
+
+
+def _imports(n_batches: int) -> list[tuple]:
+    r = random.Random(11)
+    words = [w for w in "雨が降る 山を登る 本を読む 魚が泳ぐ 犬が走る 花が咲く 船が着く 星が光る 風が吹く 鳥が鳴く 海を渡る 道を行く".split()]
+    rows, bodies = [], []
+    for b in range(n_batches):
+        for k in range(12):
+            if bodies and r.random() < 0.5:
+                t = list(r.choice(bodies))
+                for _ in range(r.randint(0, len(t) // 8)):
+                    t[r.randrange(len(t))] = r.choice("あいうえお ")
+                body = "".join(t)
+            else:
+                body = "".join(r.choice(words) + r.choice("、。") for _ in range(r.randint(2, 30)))
+                bodies.append(body)
+            url = r.choice([None, f"https://a.example/{r.randint(1, 30)}"])
+            rows.append((b * 100 + k, b, None, url, body if r.random() < 0.9 else None, "x"))
+    return rows
+
+
+def _refused(rows: list[tuple]) -> dict[int, int]:
+    """Brute force: each row against all accepted ones."""
+
+    def near(a: str, b: str) -> bool:
+        a, b = "".join(a.split()), "".join(b.split())
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1] <= max(len(a), len(b)) // 10
+
+    kept, out = [], {}
+    for i, _, _, url, body, _ in sorted(rows):
+        hit = [k for k, u, t in kept if (url and u == url) or (body is not None and t is not None and near(body, t))]
+        if hit:
+            out[i] = min(hit)
+        else:
+            kept.append((i, url, body))
+    return out
+
+
+def test_batches_equal_brute_force_and_a_stopped_state_goes_on(spark, tmp_path):
+    rows = _imports(3)
+    want = _refused(rows)
+    df = spark.createDataFrame(rows, IMPORTS)
+    # batches cut into steps are decided alike
+    assert {x.import_id: x.kept_id for x in batches.deduplicate(df, at_most=8).collect()} == want
+    path = f"file://{tmp_path}/state"
+    first = batches.Deduplicator(spark, path, sketch=batches.rarity(df))
+    first.arrive(df.where("batch_no < 2").withColumn("step", df["batch_no"].cast("string")))
+    first.accept("0")
+    # a step that breaks off leaves rows behind, which are neither read nor kept
+    first._append(spark.createDataFrame([(f"h:{x}", -1) for x in range(9)] + [("u:a.example/1", -1)], "key string, kept_id long"), "keys", "1-broken")
+    batches.mark(spark, f"{path}/begun/1-broken")
+    first.close()
+    again = batches.Deduplicator(spark, path)
+    assert again.done == ["0"] and again.left == ["1-broken"]
+    again.arrive(df.where("batch_no = 2").withColumn("step", df["batch_no"].cast("string")))
+    for step in ("0", "1", "2"):
+        again.accept(step)
+    assert {x.import_id: x.kept_id for x in again.decisions().collect()} == want
+    again.close()
+    assert batches.deduplicate(spark.createDataFrame([], IMPORTS)).count() == 0
+
+
+def test_tokens_of_many_bodies_are_split(spark):
+    import numpy as np
+
+    body = "山を登る人と海を渡る人が駅の前で出会って長い話をした。"
+    rows = [(i, 0, None, None, body.replace("長", c) + c, "0") for i, c in enumerate("高安短深遠近")]
+    sketch = np.full(batches.SKETCH, 3 * batches.PART)
+    state = batches.Deduplicator(spark, sketch=sketch)
+    state.arrive(spark.createDataFrame(rows, IMPORTS))
+    state.accept("0")
+    assert sorted((x.kept_id, x.import_id) for x in state.decisions().collect()) == [(0, i) for i in range(1, 6)]
+    state.close(all_but_decisions=True)

@@ -183,8 +183,8 @@ def test_prefixes_of_near_bodies_meet(s, data):
     t = list(s)
     for _ in range(data.draw(st.integers(0, len(s) // 12))):
         t[data.draw(st.integers(0, len(t) - 1))] = data.draw(st.sampled_from("abcdefg"))
-    a = batches.prefix(s, sketch, batches.Q, batches.SLACK)
-    b = batches.prefix("".join(t), sketch, batches.Q, batches.SLACK)
+    a = list(zip(*batches.prefix(s, sketch, batches.Q, batches.SLACK)))
+    b = list(zip(*batches.prefix("".join(t), sketch, batches.Q, batches.SLACK)))
     n = batches.Q
     assert sum(x == y and abs(p - q) <= len(s) // 10 for x, p in a for y, q in b) > batches.SLACK or len(s) < n
 
