@@ -46,6 +46,16 @@ def is_kana_annotation(c: Column) -> Column:
     return c.rlike("^[぀-ヿー]+$") & ~has_ideograph(c)
 
 
+def has_kana_or_latin(c: Column) -> Column:
+    """C8."""
+    return c.rlike("[ぁ-ゖァ-ヺA-Za-z]")
+
+
+def is_kana_ish(c: Column) -> Column:
+    """C11: kana, long marks and middle dots alone."""
+    return c.rlike("^[ぁ-ゖァ-ヺー・]+$")
+
+
 def is_katakana_word(c: Column) -> Column:
     """C13 over a whole word."""
     return c.rlike(f"^{KATAKANA}+$")

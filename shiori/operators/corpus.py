@@ -35,14 +35,16 @@ def located(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokens(lines_: DataFrame) -> DataFrame:
-    """(doc_id, line_no, token_pos, surface, start_pos, end_pos); a run of Japanese characters is a token."""
-    parts = lines_.select("doc_id", "line_no", "text", F.posexplode(T.tokens(F.col("text"))).alias("token_pos", "surface"))
-    # The place of a token: what was cut off before it, found by splitting at the runs.
-    between = F.split("text", f"{T.JAPANESE}+")
-    ahead = F.aggregate(F.slice(between, 1, F.col("token_pos") + 1), F.lit(0), lambda a, x: a + F.length(x))
-    said = F.aggregate(F.slice(T.tokens(F.col("text")), 1, F.col("token_pos")), F.lit(0), lambda a, x: a + F.length(x))
-    start = ahead + said
-    return parts.select("doc_id", "line_no", "token_pos", "surface", start.alias("start_pos"), (start + F.length("surface")).alias("end_pos"))
+    """(doc_id, line_no, token_pos, surface, start_pos, end_pos); a run of Japanese characters is a token.
+
+    A line is split once, at the runs and between them; its tokens' places are running sums
+    of the lengths of both."""
+    cut = lines_.select("doc_id", "line_no", T.tokens(F.col("text")).alias("runs"), F.split("text", f"{T.JAPANESE}+").alias("gaps"))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    pairs = F.zip_with("runs", F.slice("gaps", 1, F.greatest(F.size("runs"), F.lit(0))), lambda r, g: F.struct(F.length(g).alias("g"), F.length(r).alias("r")))
+    starts = F.aggregate(pairs, none, lambda a, x: F.struct((a["at"] + x["g"] + x["r"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + x["g"])).alias("starts")))["starts"]
+    parts = cut.select("doc_id", "line_no", F.posexplode(F.arrays_zip(F.col("runs").alias("surface"), starts.alias("start_pos"))).alias("token_pos", "t"))
+    return parts.select("doc_id", "line_no", "token_pos", "t.surface", "t.start_pos", (F.col("t.start_pos") + F.length("t.surface")).alias("end_pos"))
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:

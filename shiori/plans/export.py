@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shiori.functions import text as T
 from shiori.functions.vector import mapped
 from shiori.operators import corpus as C
+from shiori.operators.order import placed
 from shiori.plans.sources import source_index
 from shiori.plans.words import CORE, graded_word_stats
 from shiori.session import table
@@ -62,7 +63,7 @@ def imported_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = C.documents(spark, sf_dir).where("source_type = 'text' and file_name like 'web/%.txt'")
     stem = F.regexp_replace(F.substring_index("file_name", "/", -1), r"\.[^.]+$", "")
     label = F.trim(F.regexp_replace(F.regexp_replace(stem, r"^\d+-|\[[^\]]*\]", ""), r"[_\s]+", " "))
-    return d.select("doc_id", label.alias("label"), F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("title", "doc_id")).alias("place"))
+    return placed(d.select("doc_id", "title", label.alias("label")), {"title": F.col("title")}, [F.col("doc_id")]).drop("title")
 
 
 def character_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +81,7 @@ def collected_shows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def collected_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks in the order of album, disc, number and title."""
     t = K.tracks(spark.createDataFrame(_items(), K.COLLECTION).where("coalesce(subject_id, subject.id) > 1"), spark.createDataFrame(EPISODES, K.EPISODES))
-    order = Window.partitionBy(F.lit(1)).orderBy("album", F.coalesce("disc", F.lit(1)), F.coalesce("track_number", F.lit(9999)), "title")
-    return t.withColumn("place", F.row_number().over(order))
+    return placed(t, {"album": F.col("album")}, [F.coalesce("disc", F.lit(1)), F.coalesce("track_number", F.lit(9999)), F.col("title")])
 
 
 def _items() -> list:
@@ -102,7 +102,7 @@ def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gloss_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gloss, labels and readings of raw glosses."""
-    g = spark.createDataFrame([(i, v) for i, v in enumerate(RAW)], "i int, v string").withColumn("g", mapped(glosses.plain_json)("v"))
+    g = spark.createDataFrame([(i, v) for i, v in enumerate(RAW)], "i int, v string").withColumn("g", mapped(glosses.entry_json)("v"))
     return g.select("i", F.get_json_object("g", "$.gloss").alias("gloss"), F.get_json_object("g", "$.labels").alias("labels"), F.get_json_object("g", "$.readings").alias("readings"))
 
 

@@ -228,6 +228,12 @@ SQL = {
       select surface, f.word, n from f join n on f.word = n.word qualify row_number() over (partition by surface order by n desc, f.word) = 1""",
     "annotation_candidates": f"""with {CORE}, m as (select *, lead(matched_text) over (partition by doc_id, line_no order by token_pos, start_pos) as nx from mt)
       select doc_id, line_no, token_pos, start_pos, end_pos, word, jlpt_level from m where regexp_matches(matched_text, '{T.JAPANESE}') and not (regexp_matches(matched_text, '[ァ-ヺ]') and coalesce(nx in ({_titles}), false)) and not (length(matched_text) <= 1 and not regexp_matches(matched_text || word, '[㐀-鿿]'))""",
+    "annotate_spans": f"""with recursive {CORE}, m as (select *, lead(matched_text) over (partition by doc_id, line_no order by token_pos, start_pos) as nx from mt),
+      c as (select doc_id, line_no, start_pos, end_pos, word, row_number() over (partition by doc_id, line_no order by start_pos, end_pos, token_pos, word) as i from m where regexp_matches(matched_text, '{T.JAPANESE}') and not (regexp_matches(matched_text, '[ァ-ヺ]') and coalesce(nx in ({_titles}), false)) and not (length(matched_text) <= 1 and not regexp_matches(matched_text || word, '[㐀-鿿]'))
+        and start_pos is not null and end_pos > start_pos),
+      g(doc_id, line_no, i, start_pos, end_pos, word, taken, upto) as (select doc_id, line_no, i, start_pos, end_pos, word, true, end_pos from c where i = 1 union all
+        select c.doc_id, c.line_no, c.i, c.start_pos, c.end_pos, c.word, c.start_pos >= g.upto, case when c.start_pos >= g.upto then c.end_pos else g.upto end from g join c on c.doc_id = g.doc_id and c.line_no = g.line_no and c.i = g.i + 1)
+      select doc_id, line_no, start_pos, end_pos, word from g where taken""",
     "annotation_budget": f"""with {CORE}, l as (select doc_id, line_no, length(text) as n, row_number() over w as k, sum(length(text)) over w - length(text) as b from ln where regexp_matches(text, '{T.JAPANESE}') window w as (partition by doc_id order by line_no))
       select doc_id, line_no, cast(least(n, 48000 - b) as bigint) as chars from l where k <= 260 and b < 48000""",
     "glossary_lookup": f"""with g as (select *, list_filter(list_transform(regexp_split_to_array(reads, '[/／;；]'), lambda x: trim(x)), lambda x: x <> '') as a from {_rows(GLOSSARY, 'key, gloss, reads, layer')} where gloss <> ''), w as {_rows(WANTED, 'word, reading')},

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shiori.functions import text as T
 from shiori.functions import vector as V
+from shiori.functions.pure import SPELLED
 from shiori.operators import corpus as C
+from shiori.plans.words import CORE
 from shiori.session import table
 from shiori.sources import subtitles as S
 from shiori.sources import texts as X
@@ -18,13 +20,13 @@ LRC = "[ti:歌]\n[00:07.25]夜の歌\n[00:01.00][00:09.5]朝の歌\n[00:04.50]la
 PLAIN = " 朝の歌 \n\nla la\n夜の歌"
 LEVELS = ["N5", "JLPT_2", "jlpt-n3", "4", "6", "N0", "", "レベルN1 ", "n 2"]
 PATTERNS = ["〜から", "～ばかり（～だけ）", "お 茶（おちゃ）", "～", "もし　～ても", "普通"]
-READINGS = ["よい; いい", "あう、ゆく，", "に；ふた", "", "ひと,つ"]
 DURATIONS = ["245", "4:05", "1:02:03", "x", "", "12:3:4:5"]
-URLS = ["https://www.example.org/a/b.srt?x=1", "http://sub.example.net/e", "not a url", "https://EXAMPLE.com:8080/x.ASS#y"]
-INFLECT = [("来る", ""), ("勉強する", ""), ("食べる", "一段"), ("書く", "五段"), ("行く", "五段"), ("高い", "い形容词"), ("本", "")]
 GODAN = {"う": "わいえおって", "く": "かきけこいて", "ぐ": "がぎげごいで", "す": "さしせそして", "つ": "たちてとって", "ぬ": "なにねのんで", "ぶ": "ばびべぼんで", "む": "まみめもんで", "る": "らりれろって"}
-GLOSSES = ["（やくそく）〔名・他动3〕约定，约会", "①【名】水 ", "[形] 高的;贵的", "约定"]
-KANA = ["カタカナ", "ひらがな", "ガッコー・ヴ", "mixed カナ and かな", "漢字"]
+# Endings of inflected forms.
+COMING = ["来ない", "来ます", "来た", "来て", "来れば", "来よう", "こない", "きます", "きた", "きて", "くれば", "こよう"]
+DOING = ["し", "して", "した", "します", "しない", "すれば", "しよう", "される", "させる"]
+ICHIDAN = ["", "ない", "ます", "た", "て", "れば", "よう", "られる", "させる"]
+ADJECTIVE = ["く", "かった", "くない", "ければ", "そう"]
 
 
 def _files(spark: SparkSession, name: str, content: str) -> DataFrame:
@@ -68,9 +70,10 @@ def markup_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kana_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I8-I10, C7-C11."""
-    v = F.col("v")
-    return _values(spark, KANA).select("i", T.to_hiragana(v).alias("hira"), T.to_katakana(v).alias("kata"), T.has_kana(v).alias("kana"), T.is_kana_lexical(v).alias("lexical"), T.is_kana_annotation(v).alias("annotation"), T.all_ideographs(v).alias("ideographs"))
+    """Script classes and kana forms of every word of the corpus."""
+    v = F.col("word")
+    kinds = {"kana": T.has_kana(v), "lexical": T.is_kana_lexical(v), "annotation": T.is_kana_annotation(v), "ideographs": T.all_ideographs(v), "kana_or_latin": T.has_kana_or_latin(v), "kana_ish": T.is_kana_ish(v)}
+    return table(spark, sf_dir, "matches").where("word is not null").select("word").distinct().select("word", T.to_hiragana(v).alias("hira"), T.to_katakana(v).alias("kata"), *(c.alias(k) for k, c in kinds.items()))
 
 
 def romaji(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,8 +92,9 @@ def pattern_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def readings_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I25, I26."""
-    return _values(spark, READINGS).select("i", F.array_join(T.readings(F.col("v")), "|").alias("readings"))
+    """The readings of every lexicon entry."""
+    x = table(spark, sf_dir, "lexicon")
+    return x.select("surface", "entry_pos", F.array_join(T.readings(F.col("reading")), "|").alias("readings"))
 
 
 def duration_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,8 +103,9 @@ def duration_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I31, I45."""
-    return _values(spark, URLS).select("i", T.extension(F.col("v")).alias("ext"))
+    """Host and extension of every address of imports and documents."""
+    u = table(spark, sf_dir, "web_imports").select("url").union(table(spark, sf_dir, "documents_src").select("url")).where("url is not null").distinct()
+    return u.select("url", T.host(F.col("url")).alias("host"), T.extension(F.col("url")).alias("ext"))
 
 
 def import_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,23 +142,36 @@ def subtitle_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("rank", rank).withColumn("place", F.row_number().over(order)).where("place <= 24").select("title", "doc_id", "rank", "place")
 
 
-def inflected_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Searchable inflections by class of the word."""
-    w = spark.createDataFrame(INFLECT, "word string, pos string")
-    stem = F.expr("left(word, length(word) - 1)")
-    verb = F.expr("left(word, length(word) - 2)")
+def inflections(word: Column, pos: Column) -> Column:
+    """Searchable inflections of a word by its class; null for other words."""
+    stem, verb = F.left(word, F.length(word) - 1), F.left(word, F.length(word) - 2)
     add = lambda s, ends: F.transform(F.array(*map(F.lit, ends)), lambda e: F.concat(s, e))
-    forms = F.when(F.col("word").isin("来る", "くる"), F.array(*map(F.lit, ["来ない", "来ます", "来た", "来て", "来れば", "来よう", "こない", "きます", "きた", "きて", "くれば", "こよう"])))
-    forms = forms.when(F.col("word").endswith("する"), add(verb, ["し", "して", "した", "します", "しない", "すれば", "しよう", "される", "させる"]))
-    forms = forms.when(F.col("pos").contains("一段") & F.col("word").endswith("る"), add(stem, ["", "ない", "ます", "た", "て", "れば", "よう", "られる", "させる"]))
+    forms = F.when(word.isin("来る", "くる"), F.array(*map(F.lit, COMING)))
+    forms = forms.when(word.endswith("する"), add(verb, DOING))
+    forms = forms.when(pos.contains("一段") & word.endswith("る"), add(stem, ICHIDAN))
     for end, r in GODAN.items():
         te = r[4:]
         ta = te[:-1] + ("た" if te[-1] == "て" else "だ")
-        te, ta = [F.when(F.col("word") == "行く", x).otherwise(y) for x, y in (("って", te), ("った", ta))]
+        te, ta = [F.when(word == "行く", x).otherwise(y) for x, y in (("って", te), ("った", ta))]
         ends = [F.lit(x) for x in (r[0], r[0] + "ない", r[1], r[1] + "ます", r[2], r[2] + "ば", r[3] + "う")] + [te, ta] + [F.lit(r[0] + "れる"), F.lit(r[0] + "せる")]
-        forms = forms.when(F.col("pos").contains("五段") & F.col("word").endswith(end), F.array(*(F.concat(stem, e) for e in ends)))
-    forms = forms.when(F.col("pos").contains("形容词") & F.col("word").endswith("い"), add(stem, ["く", "かった", "くない", "ければ", "そう"]))
-    return w.select("word", F.explode(F.array_distinct(forms)).alias("form")).where("form != word")
+        forms = forms.when(pos.contains("五段") & word.endswith(end), F.array(*(F.concat(stem, e) for e in ends)))
+    return forms.when(pos.contains("形容词") & word.endswith("い"), add(stem, ADJECTIVE))
+
+
+def word_class(word: Column, reading: Column) -> Column:
+    """A class by the last kana, where a word list names none: い after an ideograph an adjective, る after i or e a
+    one-row verb, another u a five-row verb. It serves search, which may take too many forms."""
+    end = F.right(word, F.lit(2))
+    return (
+        F.when(end.rlike("^[㐀-鿿]い$") | word.endswith("しい"), "い形容词").when(end.rlike("[いきぎしじちにひびみりえけげせぜてでねへべめれ]る$") | (word.endswith("る") & reading.rlike("[いきぎしじちにひびみりえけげせぜてでねへべめれ]る$")), "一段")
+        .when(end.rlike("[㐀-鿿ぁ-ん][うくぐすつぬぶむる]$"), "五段").otherwise("")
+    )
+
+
+def inflected_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I12 over the lexicon's surfaces, classed by their last kana."""
+    w = C.lexicon(spark, sf_dir).select(F.col("surface").alias("word"), word_class(F.col("surface"), F.coalesce("reading", F.lit(""))).alias("pos"))
+    return w.select("word", F.explode(F.array_distinct(inflections(F.col("word"), F.col("pos")))).alias("form")).where("form != word")
 
 
 def speech_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,13 +187,13 @@ def ruby_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gloss_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reading, part of speech and text of a raw gloss."""
-    v = F.trim(F.regexp_replace("v", r"\\n|\s+", " "))
+    """Reading, part of speech and text of every meaning of the lexicon."""
+    v = F.trim(F.regexp_replace("meaning", r"\\n|\s+", " "))
     reading = F.regexp_extract(v, "^（([ぁ-ゖァ-ヺー]+)）", 1)
     rest = F.regexp_replace(v, "^(?:（[ぁ-ゖァ-ヺー]+）|[0-9①-⑳]+)\\s*", "")
     pos = F.regexp_extract(rest, "^[【〔\\[]([^】〕\\]]+)[】〕\\]]", 1)
     text = F.trim(F.regexp_replace(rest, "^[【〔\\[][^】〕\\]]+[】〕\\]]\\s*", ""))
-    return _values(spark, GLOSSES).select("i", reading.alias("reading"), pos.alias("pos"), text.alias("gloss"))
+    return table(spark, sf_dir, "lexicon").where("meaning is not null").select("surface", "entry_pos", reading.alias("reading"), pos.alias("pos"), text.alias("gloss"))
 
 
 def html_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,6 +213,36 @@ def _const(rows: list[tuple], cols: str) -> str:
     return "select * from (values " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") as t({cols})"
 
 
+_IE = "[いきぎしじちにひびみりえけげせぜてでねへべめれ]"
+
+
+def _sql(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _godan(end: str) -> str:
+    """The endings of a five-row verb as SQL; 行く has its own."""
+    r, te = GODAN[end], GODAN[end][4:]
+    ta = te[:-1] + ("た" if te[-1] == "て" else "だ")
+    head, tail = [r[0], r[0] + "ない", r[1], r[1] + "ます", r[2], r[2] + "ば", r[3] + "う"], [r[0] + "れる", r[0] + "せる"]
+    every = _sql([*head, te, ta, *tail])
+    return f"(case when word = '行く' then {_sql([*head, 'って', 'った', *tail])} else {every} end)" if end == "く" else every
+
+
+def _spelled(text: str) -> str:
+    """The kana table as nested replacements, pairs first."""
+    for k, v in sorted(SPELLED.items(), key=lambda x: -len(x[0])):
+        text = f"replace({text}, '{k}', '{v}')"
+    return text
+
+
+def _lengthened(text: str) -> str:
+    """Long marks as the letter before them, up to four in a row."""
+    for _ in range(4):
+        text = f"regexp_replace({text}, '([^ー])ー', '\\\\1\\\\1', 'g')".replace("\\\\", "\\")
+    return text
+
+
 _time = "([0-9]{1,2}):([0-9]{2}):([0-9]{2})[,.]([0-9]{1,3})"
 _srt = SRT.replace("'", "''")
 _lrc = LRC.replace("'", "''")
@@ -219,13 +267,17 @@ SQL = {
       select cast(doc_id as varchar) as file, count(*) as sentences, cast(sum(length(s)) as bigint) as chars, count(distinct k) as paragraphs from s where s <> '' group by doc_id""",
     "markup_clean": f"""select doc_id, line_no, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(text, '\\\\[Nn]', chr(10), 'g'), '\\{{[^}}]*\\}}', '', 'g'), '<[^>]+>', '', 'g'), '\\r?\\n'), lambda x: trim(x, ' ')), lambda x: x <> ''), chr(10)) as clean
       from {_ln} where text is not null""",
-    "kana_fold": f"select i, translate(v, '{T.KATA}', '{T.HIRA}') as hira, translate(v, '{T.HIRA}', '{T.KATA}') as kata, regexp_matches(v, '[぀-ヿ]') as kana, regexp_full_match(v, '[぀-ヿー・]+') as lexical, regexp_full_match(v, '[぀-ヿー]+') as annotation, regexp_full_match(v, '[㐀-鿿々]+') as ideographs from {_list(KANA)}",
+    "kana_fold": f"""select word, translate(word, '{T.KATA}', '{T.HIRA}') as hira, translate(word, '{T.HIRA}', '{T.KATA}') as kata, regexp_matches(word, '[぀-ヿ]') as kana, regexp_full_match(word, '[぀-ヿー・]+') as lexical, regexp_full_match(word, '[぀-ヿー]+') as annotation,
+      regexp_full_match(word, '[㐀-鿿々]+') as ideographs, regexp_matches(word, '[ぁ-ゖァ-ヺA-Za-z]') as kana_or_latin, regexp_full_match(word, '[ぁ-ゖァ-ヺー・]+') as kana_ish from (select distinct word from matches where word is not null)""",
+    "romaji": f"""with r as (select distinct reading from lexicon where reading is not null), a as (select reading, {_spelled("translate(reading, '" + T.KATA + "', '" + T.HIRA + "')")} as t from r),
+      b as (select reading, replace(regexp_replace(t, 'っ+([b-df-hj-np-tv-z])', '\\1\\1', 'g'), 'っ', '') as t from a) select reading, ltrim({_lengthened("t")}, 'ー') as romaji from b""",
     "level_parse": f"""select i, cast(coalesce(nullif(regexp_extract(upper(trim(v)), '(?:JLPT[_\\s-]?|N)([1-5])\\b', 1), ''), nullif(regexp_extract(regexp_replace(upper(trim(v)), '^N', ''), '^\\s*([1-5])\\s*$', 1), '')) as int) as level from {_list(LEVELS)}""",
     "pattern_normalize": f"""with a as (select i, v, regexp_replace(regexp_replace(trim(regexp_replace(replace(v, '〜', '～'), '\\s+', ' ', 'g')), '\\s*[（(][^）)]*～[^）)]*[）)]\\s*$', ''), '\\s*[（(][ぁ-ゖァ-ヺー・/／;；\\s]+[）)]\\s*$', '') as t from {_list(PATTERNS)}),
       b as (select i, v, regexp_replace(t, '^[～ 　]+|[～ 　]+$', '', 'g') as t from a) select i, case when t = '' then trim(v) else t end as pattern from b""",
-    "readings_split": f"select i, array_to_string(list_filter(list_transform(regexp_split_to_array(v, '[;；、,]'), lambda x: trim(x)), lambda x: x <> ''), '|') as readings from {_list(READINGS)}",
+    "readings_split": "select surface, entry_pos, array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(reading, ''), '[;；、,]'), lambda x: trim(x)), lambda x: x <> ''), '|') as readings from lexicon",
     "duration_parse": _const([(0, 245000), (1, 245000), (2, 3723000), (3, None), (4, None), (5, None)], "i, ms"),
-    "url_parts": _const([(0, ".srt"), (1, ""), (2, ""), (3, ".ass")], "i, ext"),
+    "url_parts": """select url, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)), '^www\\.', '') as host, lower(regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', ''), '[^/.](\\.[^./]+)$', 1)) as ext
+      from (select url from web_imports union select url from documents_src) where url is not null""",
     "import_domains": "select regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)), '^www\\.', '') as host, count(*) as n from web_imports where url is not null group by 1",
     "import_dedupe": "with w as (select import_id, coalesce(lower(nullif(trim(content_sha256), '')), sha256(regexp_replace(body, '\\s+$', ''))) as h from web_imports) select h, min(import_id) as first_id, count(distinct import_id) as copies from w where h is not null group by h",
     "import_clean": """with a as (select import_id, array_to_string(list_transform(string_split(regexp_replace(body, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \\t　 ]+', ' ', 'g'))), chr(10)) as t from web_imports),
@@ -233,6 +285,12 @@ SQL = {
     "episode_parse": f"""select doc_id, cast(coalesce(nullif(regexp_extract(file_name, '[Ss][0-9]+[Ee]([0-9]{{1,4}})', 1), ''), nullif(regexp_extract(file_name, '(?:^|[^0-9])(?:第)?([0-9]{{1,4}})(?:話|集|[Vv][0-9]|\\s|\\.|-|_|$)', 1), '')) as int) as episode from {_doc} where source_type = 'subtitle' and file_name is not null""",
     "subtitle_rank": f"""with d as (select *, lower(file_name) as n from {_doc} where source_type = 'subtitle' and file_name is not null), r as (select title, doc_id, file_name, case when regexp_matches(n, '\\.ja|\\.jpn|japanese|日本語') then -20 else 0 end + case when regexp_matches(n, '\\.en|english|chs|cht|中文') then 20 else 0 end
       + case when regexp_matches(n, 'generated|whisper') then 10 else 0 end + case when regexp_matches(n, '\\.srt$') then 0 else 2 end as rank from d), p as (select title, doc_id, rank, row_number() over (partition by title order by rank, length(file_name), file_name, doc_id) as place from r) select * from p where place <= 24""",
-    "gloss_clean": _const([(0, "やくそく", "名・他动3", "约定，约会"), (1, "", "名", "水"), (2, "", "形", "高的;贵的"), (3, "", "", "约定")], "i, reading, pos, gloss"),
+    "gloss_clean": """with v as (select surface, entry_pos, trim(regexp_replace(meaning, '\\\\n|\\s+', ' ', 'g')) as v from lexicon where meaning is not null), r as (select *, regexp_replace(v, '^(?:（[ぁ-ゖァ-ヺー]+）|[0-9①-⑳]+)\\s*', '') as rest from v)
+      select surface, entry_pos, regexp_extract(v, '^（([ぁ-ゖァ-ヺー]+)）', 1) as reading, regexp_extract(rest, '^[【〔\\[]([^】〕\\]]+)[】〕\\]]', 1) as pos, trim(regexp_replace(rest, '^[【〔\\[][^】〕\\]]+[】〕\\]]\\s*', '')) as gloss from r""",
+    "inflected_forms": f"""with {CORE}, w as (select surface as word, coalesce(reading, '') as rd from lex), c as (select word, case when regexp_matches(right(word, 2), '^[㐀-鿿]い$') or word like '%しい' then 'い形容词'
+        when regexp_matches(right(word, 2), '{_IE}る$') or (word like '%る' and regexp_matches(rd, '{_IE}る$')) then '一段' when regexp_matches(right(word, 2), '[㐀-鿿ぁ-ん][うくぐすつぬぶむる]$') then '五段' else '' end as pos from w),
+      f as (select word, case when word in ('来る', 'くる') then {_sql(COMING)} when word like '%する' then [word[:-3] || e for e in {_sql(DOING)}] when pos = '一段' and word like '%る' then [word[:-2] || e for e in {_sql(ICHIDAN)}]
+        {" ".join(f"when pos = '五段' and word like '%{k}' then [word[:-2] || e for e in {_godan(k)}]" for k in GODAN)} when pos = 'い形容词' then [word[:-2] || e for e in {_sql(ADJECTIVE)}] end as fs from c)
+      select distinct word, form from (select word, unnest(fs) as form from f) where form <> word""",
 }
 QUERIES = [srt_parse, ass_parse, lrc_parse, plain_lyrics_parse, sentence_split, markup_clean, kana_fold, romaji, level_parse, pattern_normalize, readings_split, duration_parse, url_parts, import_domains, import_dedupe, import_clean, episode_parse, subtitle_rank, inflected_forms, speech_segments, ruby_alignment, gloss_clean, html_articles]

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shiori.functions import text as T
 from shiori.operators import corpus as C
+from shiori.operators.order import with_neighbours
 from shiori.plans.words import CORE
 from shiori.session import table
 
@@ -65,8 +69,7 @@ def shows_with_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def context_window(spark: SparkSession, sf_dir: str, preferred: int = 2, least: int = 40, most: int = 4) -> DataFrame:
     """lines before and after each line: at least `preferred` with `least` characters, at most `most`; blank lines don't count."""
-    full = C.lines(spark, sf_dir).withColumn("t", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", ""))).where("t != ''")
-    by = Window.partitionBy("doc_id").orderBy("line_no")
+    full = _spoken(spark, sf_dir)
 
     def take(near: Column) -> Column:
         """The shortest prefix, nearest first, that is long enough."""
@@ -74,16 +77,20 @@ def context_window(spark: SparkSession, sf_dir: str, preferred: int = 2, least:
         step = lambda s, x: F.when((F.size(s["a"]) >= preferred) & (s["n"] >= least), s).otherwise(F.struct(F.concat(s["a"], F.array(x)).alias("a"), (s["n"] + F.length(x)).alias("n")))
         return F.aggregate(near, start, step)["a"]
 
-    before = take(F.reverse(F.collect_list("t").over(by.rowsBetween(-most, -1))))
-    after = take(F.collect_list("t").over(by.rowsBetween(1, most)))
-    return full.select("doc_id", "line_no", F.array_join(F.reverse(before), "⏎").alias("before"), F.array_join(after, "⏎").alias("after"))
+    near = with_neighbours(full, "doc_id", "line_no", "t", most, most)
+    return near.select("doc_id", "line_no", F.array_join(F.reverse(take(F.col("near_before"))), "⏎").alias("before"), F.array_join(take(F.col("near_after")), "⏎").alias("after"))
+
+
+def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that aren't blank, with their trimmed text `t`."""
+    return C.lines(spark, sf_dir).select("doc_id", "line_no", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")).alias("t")).where("t != ''")
 
 
 def selection_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the two lines before and after each line."""
-    by = Window.partitionBy("doc_id").orderBy("line_no")
-    l = C.lines(spark, sf_dir).withColumn("t", F.coalesce("text", F.lit("")))
-    return l.select("doc_id", "line_no", F.array_join(F.collect_list("t").over(by.rowsBetween(-2, -1)), "⏎").alias("before"), F.array_join(F.collect_list("t").over(by.rowsBetween(1, 2)), "⏎").alias("after"))
+    l = C.lines(spark, sf_dir).select("doc_id", "line_no", F.coalesce("text", F.lit("")).alias("t"))
+    near = with_neighbours(l, "doc_id", "line_no", "t", 2, 2)
+    return near.select("doc_id", "line_no", F.array_join(F.reverse("near_before"), "⏎").alias("before"), F.array_join("near_after", "⏎").alias("after"))
 
 
 def quality(sentence: Column, matched: Column, start_ms: Column, before: Column, after: Column) -> Column:
@@ -99,7 +106,12 @@ def quality(sentence: Column, matched: Column, start_ms: Column, before: Column,
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "word_examples").groupBy("example_id").agg(F.min(F.struct("word", "sentence", "source_type", "source_title", "doc_id", "line_no", "matched_text", "episode", "start_ms")).alias("e")).select("example_id", "e.*")
     e = e.where("word is not null and sentence is not null")
-    score = quality(F.col("sentence"), F.col("matched_text"), F.col("start_ms"), F.lit(0), F.lit(0))
+    # an example's context is the lines around its own
+    wanted = e.select("doc_id", "line_no").distinct()
+    near = with_neighbours(_spoken(spark, sf_dir).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", "line_no", "t", 2, 2)
+    near = near.join(wanted, ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", F.size("near_before").alias("n_before"), F.size("near_after").alias("n_after"))
+    e = e.join(near, ["doc_id", "line_no"], "left").fillna(0, ["n_before", "n_after"])
+    score = quality(F.col("sentence"), F.col("matched_text"), F.col("start_ms"), F.col("n_before"), F.col("n_after"))
     rank = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("∅")) for c in ["source_type", "source_title", "doc_id", "episode", "start_ms", "matched_text", "sentence"])), 256)
     return e.withColumn("score", F.round(score, 6)).withColumn("rank", rank).withColumn("dup", T.duplicate_key(F.col("sentence")))
 
@@ -154,6 +166,47 @@ def example_pool(spark: SparkSession, sf_dir: str, limit: int = 60) -> DataFrame
     return e.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("word", "example_id", "turn", "place")
 
 
+def example_reservoir(spark: SparkSession, sf_dir: str, limit: int = 5) -> DataFrame:
+    """F7 exactly: examples arrive in the order of their ids; a sentence that is held isn't taken again.
+    A full pool takes an example of a source it hasn't, in the place of the last one of its
+    most frequent source (the one whose first example stands first, on ties).
+
+    Every arrival may matter, so a word's examples pass one task in their order, but none
+    keeps more than the pool.
+    """
+    e = table(spark, sf_dir, "word_examples").where("word is not null and sentence is not null").groupBy("example_id").agg(F.min(F.struct("word", "sentence", F.coalesce("source_title", F.lit("")).alias("source"))).alias("e")).select("example_id", "e.*")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        word, pool = None, []
+        for b in batches:
+            done = []
+            for w, i, sentence, source in zip(b["word"], b["example_id"], b["sentence"], b["source"]):
+                if w != word:
+                    done += [(word, k, x[0]) for k, x in enumerate(pool, 1)]
+                    word, pool = w, []
+                if any(x[1] == sentence for x in pool):
+                    continue
+                held = [x[2] for x in pool]
+                if len(pool) < limit:
+                    pool.append((i, sentence, source))
+                elif source not in held:
+                    most = max(held, key=held.count)
+                    pool[len(held) - 1 - held[::-1].index(most)] = (i, sentence, source)
+            yield pd.DataFrame(done, columns=["word", "place", "example_id"])
+        yield pd.DataFrame([(word, k, x[0]) for k, x in enumerate(pool, 1)], columns=["word", "place", "example_id"])
+
+    return e.repartition("word").sortWithinPartitions("word", "example_id").mapInPandas(fold, "word string, place int, example_id long")
+
+
+def example_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples of the other sources, with those of imported texts appended that they don't hold: one example
+    of each (sentence without blanks, file, matched text)."""
+    e = table(spark, sf_dir, "word_examples").where("word is not null and sentence is not null").groupBy("example_id").agg(F.min(F.struct("word", "sentence", "source_type", F.coalesce("doc_id", F.lit("")).alias("file"), F.coalesce("matched_text", F.lit("")).alias("matched"))).alias("e")).select("example_id", "e.*")
+    e = e.withColumn("part", F.when(F.col("source_type") == "text", 1).otherwise(0)).withColumn("key", F.struct(T.duplicate_key(F.col("sentence")).alias("s"), "file", "matched"))
+    first = Window.partitionBy("word", "key").orderBy("part", "example_id")
+    return e.withColumn("_k", F.row_number().over(first)).where("_k = 1 or part = 0").select("word", "example_id", "part")
+
+
 def examples_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Examples and timed examples of each document."""
     return table(spark, sf_dir, "word_examples").groupBy("doc_id").agg(F.count_distinct("example_id").alias("examples"), F.count_distinct(F.when(F.col("start_ms").isNotNull(), F.col("example_id"))).alias("timed"))
@@ -182,12 +235,15 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _per = """per as (select d.doc_id, source_type, title, file_name, artist, album, episode, coalesce(l.lines, 0) as lines, coalesce(m.matches, 0) as matches from doc d
   left join (select doc_id, count(*) as lines from ln group by doc_id) l on d.doc_id = l.doc_id left join (select doc_id, count(*) as matches from mt group by doc_id) m on d.doc_id = m.doc_id)"""
-_ex = """ex as (select example_id, unnest(e) from (select example_id, min(struct_pack(word := word, sentence := sentence, source_type := source_type, source_title := source_title, doc_id := doc_id, line_no := line_no, matched_text := matched_text, episode := episode, start_ms := start_ms)) as e from word_examples group by example_id)),
-sc as (select *, regexp_replace(sentence, '\\s+', '', 'g') as dup,
-  sha256(concat_ws('|', coalesce(source_type, '∅'), coalesce(source_title, '∅'), coalesce(doc_id, '∅'), coalesce(cast(episode as varchar), '∅'), coalesce(cast(start_ms as varchar), '∅'), coalesce(matched_text, '∅'), sentence)) as rank,
+_ex = f"""{CORE.strip()},
+ns as (select doc_id, line_no, trim(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) as t from ln),
+nb as (select doc_id, line_no, case when lag(line_no, 2) over w is not null then 2 when lag(line_no) over w is not null then 1 else 0 end + case when lead(line_no, 2) over w is not null then 2 when lead(line_no) over w is not null then 1 else 0 end as ctx from ns where t <> '' window w as (partition by doc_id order by line_no)),
+ex as (select example_id, unnest(e) from (select example_id, min(struct_pack(word := word, sentence := sentence, source_type := source_type, source_title := source_title, doc_id := doc_id, line_no := line_no, matched_text := matched_text, episode := episode, start_ms := start_ms)) as e from word_examples group by example_id)),
+sc as (select ex.*, regexp_replace(sentence, '\\s+', '', 'g') as dup,
+  sha256(concat_ws('|', coalesce(source_type, '∅'), coalesce(source_title, '∅'), coalesce(ex.doc_id, '∅'), coalesce(cast(episode as varchar), '∅'), coalesce(cast(start_ms as varchar), '∅'), coalesce(matched_text, '∅'), sentence)) as rank,
   round(case when coalesce(matched_text, '') <> '' and contains(trim(sentence), matched_text) then 4.0 else 0.0 end
   + case when length(trim(sentence)) between 8 and 80 then 6.0 when length(trim(sentence)) between 4 and 120 then 3.0 else 0.0 end - cast(abs(length(trim(sentence)) - 32) as double) / 24
-  + case when start_ms is not null then 0.5 else 0.0 end + case when regexp_matches(trim(sentence), '[。！？!?]$') then 0.5 else 0.0 end, 6) as score from ex where word is not null and sentence is not null)"""
+  + coalesce(ctx, 0) * 0.75 + case when start_ms is not null then 0.5 else 0.0 end + case when regexp_matches(trim(sentence), '[。！？!?]$') then 0.5 else 0.0 end, 6) as score from ex left join nb on ex.doc_id = nb.doc_id and ex.line_no = nb.line_no where word is not null and sentence is not null)"""
 SQL = {
     "source_index": f"""with {CORE}, {_per} select doc_id, sha256(concat_ws('|', coalesce(source_type, '∅'), coalesce(title, '∅'), coalesce(artist, '∅'), coalesce(album, '∅'), coalesce(file_name, '∅'), coalesce(cast(episode as varchar), '∅'))) as source_key, lines, matches,
       coalesce((select count(distinct word) from mt where mt.doc_id = per.doc_id), 0) as words from per""",
@@ -209,10 +265,19 @@ SQL = {
     "example_quality": f"with {_ex} select example_id, score, rank, dup from sc",
     "example_pool": f"""with {_ex}, a as (select * from sc qualify row_number() over (partition by word, sentence order by example_id) = 1), b as (select *, row_number() over (partition by word, source_title order by example_id) as turn from a)
       select word, example_id, turn, row_number() over (partition by word order by turn, example_id) as place from b qualify row_number() over (partition by word order by turn, example_id) <= 60""",
+    "example_reservoir": """with recursive e0 as (select example_id, min(struct_pack(word := word, sentence := sentence, source := coalesce(source_title, ''))) as e from word_examples where word is not null and sentence is not null group by example_id),
+      e as (select e.word as word, e.sentence as sentence, e.source as source, example_id, row_number() over (partition by e.word order by example_id) as i, count(*) over (partition by e.word) as m from e0),
+      f(word, i, m, pool) as (select word, i, m, [struct_pack(id := example_id, s := sentence, t := source)] from e where i = 1
+        union all select e.word, e.i, e.m, case when list_contains([y.s for y in pool], e.sentence) then pool when len(pool) < 5 then list_append(pool, struct_pack(id := e.example_id, s := e.sentence, t := e.source)) when list_contains([y.t for y in pool], e.source) then pool
+          else list_concat(pool[1:lastat(pool) - 1], [struct_pack(id := e.example_id, s := e.sentence, t := e.source)], pool[lastat(pool) + 1:]) end from f join e on e.word = f.word and e.i = f.i + 1)
+      select word, cast(generate_subscripts(pool, 1) as int) as place, unnest(pool).id as example_id from f where i = m""".replace("lastat(pool)", "(len(pool) - list_position(list_reverse([y.t for y in pool]), [y.t for y in pool][list_position([len([z for z in pool if z.t = y.t]) for y in pool], list_max([len([z for z in pool if z.t = y.t]) for y in pool]))]) + 1)"),
+    "example_merge": """with e0 as (select example_id, min(struct_pack(word := word, sentence := sentence, source_type := source_type, file := coalesce(doc_id, ''), matched := coalesce(matched_text, ''))) as e from word_examples where word is not null and sentence is not null group by example_id),
+      e as (select example_id, e.word as word, regexp_replace(e.sentence, '\\s+', '', 'g') as s, e.file as file, e.matched as matched, case when e.source_type = 'text' then 1 else 0 end as part from e0)
+      select word, example_id, part from (select *, row_number() over (partition by word, s, file, matched order by part, example_id) as k from e) where k = 1 or part = 0""",
     "examples_per_file": "select doc_id, count(distinct example_id) as examples, count(distinct case when start_ms is not null then example_id end) as timed from word_examples group by doc_id",
     "document_rebuild": f"with {_ex} select doc_id, line_no, sentence, count(*) as matches, string_agg(distinct word, '、' order by word) as words, cast(min(case when coalesce(matched_text, '') = '' then 0 else instr(sentence, matched_text) - 1 end) as int) as first_at from sc group by all",
     "reader_units": f"with {CORE} select l.doc_id, l.lines, l.length_ms, coalesce(w.words, 0) as words from (select doc_id, count(*) as lines, max(end_ms) as length_ms from ln group by doc_id) l left join (select doc_id, count(distinct word) as words from mt group by doc_id) w on l.doc_id = w.doc_id",
     "references": f"""with {_ex}, s as (select *, start_ms // 1000 as s from sc) select example_id, concat_ws(' · ', source_title, 'EP' || case when episode < 10 then '0' else '' end || cast(episode as varchar),
       case when s >= 3600 then case when s // 3600 < 10 then '0' else '' end || cast(s // 3600 as varchar) || ':' else '' end || case when s // 60 % 60 < 10 then '0' else '' end || cast(s // 60 % 60 as varchar) || ':' || case when s % 60 < 10 then '0' else '' end || cast(s % 60 as varchar)) as reference from s""",
 }
-QUERIES = [source_index, source_inventory, source_groups, episode_groups, preferred_version, shows_with_characters, context_window, selection_context, example_quality, example_diverse_topk, example_pool, examples_per_file, document_rebuild, reader_units, references]
+QUERIES = [source_index, source_inventory, source_groups, episode_groups, preferred_version, shows_with_characters, context_window, selection_context, example_quality, example_diverse_topk, example_pool, example_reservoir, example_merge, examples_per_file, document_rebuild, reader_units, references]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shiori.operators import corpus as C
+from shiori.operators.order import placed
 from shiori.plans.words import CORE
 from shiori.session import table
 
@@ -26,24 +27,28 @@ def study_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "ts", F.col("user_id").alias("learner"), F.get_json_object("props", "$.k").cast("int").alias("word_id"), act.alias("action")).where("action is not null and word_id is not null")
 
 
+#: States of a word: 0 none, 1 learning without checks, 2 to TARGET learning with checks, TARGET + 1 known.
+STATES = TARGET + 2
+
+
 def fold(events: DataFrame, keys: list[str]) -> DataFrame:
-    """J4-J6, I90, I91 as windows: the last action that sets a count starts a group, and the checks after it are added.
+    """The state of each word after its actions in order of (ts, event_id).
 
-    known sets the target and clears the schedule; none clears all; learning keeps what a
-    learner has, but starts a mastered word again. A word is known from the target on.
+    known and none set the state, learning starts a word, or a mastered one again, and a check
+    counts up to the target. An action is a map of the nine states to states, and such maps
+    compose: the actions of a day are folded into one map, then the days' maps into one, so
+    that a word with very many events is folded in parts.
     """
-    order = Window.partitionBy(*keys).orderBy("ts", "event_id")
-    reset = F.col("action").isin("known", "none")
-    e = events.withColumn("group", F.sum(F.when(reset, 1).otherwise(0)).over(order))
-    by = e.groupBy(*keys, "group").agg(
-        F.max(F.when(reset, F.col("action"))).alias("start"), F.count_if(F.col("action") == "check").alias("checks"), F.count_if(F.col("action") == "learning").alias("starts"), F.max("ts").alias("last_ts")
-    )
-    last = Window.partitionBy(*keys).orderBy(F.desc("group"))
-    g = by.withColumn("k", F.row_number().over(last)).where("k = 1")
-    base = F.when((F.col("start") == "known") & (F.col("starts") == 0), TARGET).otherwise(0)
-    count = F.least(F.lit(TARGET), base + F.col("checks")).cast("int")
-    status = F.when(count >= TARGET, "known").when((count > 0) | (F.col("starts") > 0), "learning").otherwise("none")
-    return g.select(*keys, status.alias("status"), count.alias("study_count"), F.to_date("last_ts").cast("string").alias("last_seen"), F.when(status == "learning", F.date_add(F.to_date("last_ts"), 1)).cast("string").alias("due_date"))
+    known = STATES - 1
+    act = lambda s, a: F.when(a == "known", known).when(a == "none", 0).when(a == "learning", F.when((s == 0) | (s == known), 1).otherwise(s)).otherwise(F.least(F.lit(known), F.greatest(s, F.lit(1)) + 1))
+    every = F.array(*(F.lit(i) for i in range(STATES)))
+    days = events.groupBy(*keys, F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "action"))).alias("acts"), F.max("ts").alias("last_ts"))
+    days = days.withColumn("map", F.aggregate("acts", every, lambda m, e: F.transform(m, lambda s: act(s, e["action"]).cast("int"))))
+    words = days.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("day", "map"))).alias("maps"), F.max("last_ts").alias("last_ts"))
+    g = words.withColumn("state", F.aggregate("maps", F.lit(0), lambda s, d: F.element_at(d["map"], s + 1)))
+    status = F.when(F.col("state") == known, "known").when(F.col("state") > 0, "learning").otherwise("none")
+    count = F.greatest(F.col("state") - 1, F.lit(0))
+    return g.select(*keys, status.alias("status"), count.cast("int").alias("study_count"), F.to_date("last_ts").cast("string").alias("last_seen"), F.when(status == "learning", F.date_add(F.to_date("last_ts"), 1)).cast("string").alias("due_date"))
 
 
 def study_state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +72,8 @@ def study_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def browse_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graded words of subtitles by level and count, with their page."""
     m = C.located(spark, sf_dir).where("source_type = 'subtitle'").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.max("jlpt_level").alias("level")).where("level > 0")
-    key = Window.partitionBy("level").orderBy(F.desc("n"), "word")
-    return m.withColumn("place", F.row_number().over(key)).select("word", "level", "n", "place", F.floor((F.col("place") - 1) / 600).cast("int").alias("page"))
+    # a level's words are numbered by groups of equal count
+    return placed(m, {"n": -F.col("n")}, [F.col("word")], ["level"]).select("word", "level", "n", "place", F.floor((F.col("place") - 1) / 600).cast("int").alias("page"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, keep: list[str], replace: list[str]) -> DataFrame:
@@ -107,27 +112,43 @@ def contributions(m: DataFrame) -> DataFrame:
     return m.groupBy("word", "doc_id", "source_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def merged(base: DataFrame, gone: DataFrame, added: DataFrame) -> DataFrame:
-    """Contributions without those of documents that went, with those that came; empty words go.
+def changed(old: DataFrame, new: DataFrame) -> DataFrame:
+    """H5, H6: documents (doc_id, version) that came, went or changed. Only the small tables of versions are read."""
+    o, n = old.select("doc_id", F.col("version").alias("was")), new.select("doc_id", F.col("version").alias("is_now"))
+    return o.join(n, "doc_id", "full_outer").where(~F.col("was").eqNullSafe(F.col("is_now"))).select("doc_id", F.col("was").isNotNull().alias("had"), F.col("is_now").isNotNull().alias("has"))
 
-    Documents, not counters, are the unit: retracting and adding can't drift, and only the
-    words of changed documents need to be written again (`touched`).
-    """
-    kept = base.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
-    new = added.join(kept.select("doc_id").distinct(), "doc_id", "left_anti")
-    return kept.unionByName(new)
+
+def refreshed(counts: DataFrame, base: DataFrame, now: DataFrame, touched: DataFrame) -> DataFrame:
+    """Totals of words after a change. What the touched documents added before is taken
+    away, what they add now is added; words of no touched document keep their row as it is."""
+    one = touched.select("doc_id").distinct()
+    less = base.join(one, "doc_id", "left_semi").select("word", "doc_id", "source_type", (-F.col("n")).alias("n"), F.lit(-1).alias("f"))
+    more = contributions(now.join(one, "doc_id", "left_semi")).select("word", "doc_id", "source_type", "n", F.lit(1).alias("f"))
+    delta = less.unionByName(more).groupBy("word").agg(F.sum("n").alias("n"), F.sum("f").alias("files"), *(F.sum(F.when(F.col("source_type") == t, F.col("n")).otherwise(0)).alias(f"n_{t}") for t in TYPES))
+    cols = ["n", "files", *(f"n_{t}" for t in TYPES)]
+    d = delta.select("word", *(F.col(c).alias(f"d_{c}") for c in cols))
+    both = counts.join(d, "word", "full_outer").select("word", *((F.coalesce(c, F.lit(0)) + F.coalesce(f"d_{c}", F.lit(0))).alias(c) for c in cols))
+    return both.where("n > 0")
+
+
+TYPES = ("subtitle", "lyrics", "text")
 
 
 def totals(c: DataFrame) -> DataFrame:
     """Counts of each word by source type, their sum being the word's count."""
-    return c.groupBy("word").agg(F.sum("n").alias("n"), F.count_distinct("doc_id").alias("files"), *(F.sum(F.when(F.col("source_type") == t, F.col("n")).otherwise(0)).alias(f"n_{t}") for t in ("subtitle", "lyrics", "text")))
+    return c.groupBy("word").agg(F.sum("n").alias("n"), F.count_distinct("doc_id").alias("files"), *(F.sum(F.when(F.col("source_type") == t, F.col("n")).otherwise(0)).alias(f"n_{t}") for t in TYPES))
 
 
 def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A corpus without its imported texts, then without lyrics, then with texts: equals a build from scratch."""
-    c = contributions(C.located(spark, sf_dir))
-    lyrics = c.where("source_type = 'lyrics'")
-    return totals(merged(c.where("source_type != 'text'"), lyrics, c.where("source_type = 'text'")))
+    """The corpus before its latest deliveries and with its lyrics, brought up to date:
+    documents delivered since are added, lyrics are taken away. Equals a build from scratch."""
+    m = C.located(spark, sf_dir)
+    d = C.documents(spark, sf_dir).select("doc_id", "source_type", "loaded_at")
+    before = d.where("source_type != 'text'").select("doc_id", F.col("loaded_at").cast("string").alias("version"))
+    after = d.where("source_type != 'lyrics'").select("doc_id", F.col("loaded_at").cast("string").alias("version"))
+    base = contributions(m.join(before, "doc_id", "left_semi"))
+    touched = changed(before.withColumn("version", F.coalesce("version", F.lit(""))), after.withColumn("version", F.coalesce("version", F.lit(""))))
+    return refreshed(totals(base), base, m.join(after, "doc_id", "left_semi"), touched)
 
 
 def _rows(rows: list[tuple], cols: str) -> str:
@@ -136,15 +157,19 @@ def _rows(rows: list[tuple], cols: str) -> str:
 
 
 _fold = f"""ev as (select event_id, ts, user_id as learner, cast(json_extract_string(props, '$.k') as int) as word_id, case event_type when 'signup' then 'learning' when 'click' then 'check' when 'purchase' then 'known' when 'error' then 'none' end as action from events),
-e as (select *, sum(case when action in ('known', 'none') then 1 else 0 end) over (partition by learner, word_id order by ts, event_id) as grp from ev where action is not null and word_id is not null),
-g as (select learner, word_id, grp, max(case when action in ('known', 'none') then action end) as start, count(*) filter (action = 'check') as checks, count(*) filter (action = 'learning') as starts, max(ts) as last_ts from e group by learner, word_id, grp),
-g1 as (select * from g qualify row_number() over (partition by learner, word_id order by grp desc) = 1),
-c as (select *, cast(least({TARGET}, case when start = 'known' and starts = 0 then {TARGET} else 0 end + checks) as int) as study_count from g1),
-st as (select learner, word_id, case when study_count >= {TARGET} then 'known' when study_count > 0 or starts > 0 then 'learning' else 'none' end as status, study_count, cast(last_ts as date) as seen from c),
+e as (select *, row_number() over (partition by learner, word_id order by ts, event_id) as i, count(*) over (partition by learner, word_id) as m from ev where action is not null and word_id is not null),
+w(learner, word_id, i, m, ts, n, st) as (
+  select learner, word_id, i, m, ts, case action when 'known' then {TARGET} when 'check' then 1 else 0 end, case action when 'known' then 'known' when 'none' then 'none' else 'learning' end from e where i = 1
+  union all
+  select e.learner, e.word_id, e.i, e.m, e.ts,
+    case e.action when 'known' then {TARGET} when 'none' then 0 when 'learning' then case when w.n >= {TARGET} then 0 else w.n end else least(w.n + 1, {TARGET}) end,
+    case when e.action = 'known' then 'known' when e.action = 'none' then 'none' when e.action = 'check' and w.n + 1 >= {TARGET} then 'known' else 'learning' end
+  from w join e on e.learner = w.learner and e.word_id = w.word_id and e.i = w.i + 1),
+st as (select learner, word_id, st as status, cast(n as int) as study_count, cast(ts as date) as seen from w where i = m),
 fo as (select learner, word_id, status, study_count, cast(seen as varchar) as last_seen, case when status = 'learning' then cast(seen + 1 as varchar) end as due_date from st)"""
 SQL = {
-    "study_state_fold": f"with {_fold} select * from fo",
-    "study_queue": f"with {_fold} select learner, word_id, row_number() over w as place, lead(word_id) over w as next_word from fo where status = 'learning' and study_count < {TARGET} window w as (partition by learner order by due_date, last_seen desc, study_count, word_id)",
+    "study_state_fold": f"with recursive {_fold} select * from fo",
+    "study_queue": f"with recursive {_fold} select learner, word_id, row_number() over w as place, lead(word_id) over w as next_word from fo where status = 'learning' and study_count < {TARGET} window w as (partition by learner order by due_date, last_seen desc, study_count, word_id)",
     "study_merge": f"select coalesce(a.word, b.word) as word, coalesce(a.status, b.status) as status, greatest(coalesce(a.n, 0), coalesce(b.n, 0)) as n from {_rows(LOCAL, 'word, status, n')} a full outer join {_rows(REMOTE, 'word, status, n')} b on a.word = b.word",
     "browse_words": f"""with {CORE}, m as (select word, count(*) as n, max(jlpt_level) as level from loc where source_type = 'subtitle' group by word having max(jlpt_level) > 0), p as (select *, row_number() over (partition by level order by n desc, word) as place from m)
       select word, level, n, place, cast((place - 1) // 600 as int) as page from p""",

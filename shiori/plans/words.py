@@ -119,11 +119,13 @@ def reading_index_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolve_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each distinct token with its word: by surface, else (kana only) by reading, else itself ungraded."""
+    """Each distinct token with its word: by surface, else (kana only) by reading, fixed readings first, else itself ungraded."""
     lex = C.lexicon(spark, sf_dir)
     t = C.tokens(C.lines(spark, sf_dir)).groupBy("surface").agg(F.count(F.lit(1)).alias("n"))
     by_surface = lex.select("surface", F.col("surface").alias("w1"), F.col("jlpt_level").alias("l1"))
-    by_reading = C.reading_index(lex).select(F.col("key").alias("hira"), F.col("surface").alias("w2"), F.col("jlpt_level").alias("l2"))
+    fixed = spark.createDataFrame(READING_OVERRIDES, "key string, surface string").join(lex.select("surface", "jlpt_level"), "surface").select("key", "surface", "jlpt_level")
+    index = fixed.unionByName(C.reading_index(lex).select("key", "surface", "jlpt_level").join(fixed.select("key"), "key", "left_anti"))
+    by_reading = index.select(F.col("key").alias("hira"), F.col("surface").alias("w2"), F.col("jlpt_level").alias("l2"))
     t = t.withColumn("hira", F.when(~T.has_ideograph(F.col("surface")), T.to_hiragana(F.col("surface"))))
     r = t.join(small(by_surface), "surface", "left").join(small(by_reading), "hira", "left")
     return r.select("surface", F.coalesce("w1", "w2", "surface").alias("word"), F.coalesce("l1", "l2", F.lit(0)).alias("level"), "n")
@@ -247,7 +249,8 @@ SQL = {
       select key, min(surface) as surface, min(jlpt_level) as jlpt_level from e where key <> '' group by key having count(distinct surface) = 1""",
     "resolve_tokens": f"""with {CORE}, t as (select surface, count(*) as n from (select unnest(regexp_extract_all(text, '{J}+')) as surface from ln) group by surface),
       e as (select surface, jlpt_level, trim(unnest(regexp_split_to_array(coalesce(reading, ''), '[;；、,]'))) as key from lex),
-      r as (select key, min(surface) as w2, min(jlpt_level) as l2 from e where key <> '' group by key having count(distinct surface) = 1)
+      o as (select key, o.surface as w2, jlpt_level as l2 from (values {", ".join(f"('{a}', '{b}')" for a, b in READING_OVERRIDES)}) as o(key, surface) join lex on lex.surface = o.surface),
+      r as (select * from o union all select key, min(surface) as w2, min(jlpt_level) as l2 from e where key <> '' and key not in (select key from o) group by key having count(distinct surface) = 1)
       select t.surface, coalesce(lex.surface, w2, t.surface) as word, coalesce(lex.jlpt_level, l2, 0) as level, n from t left join lex on t.surface = lex.surface
       left join r on not regexp_matches(t.surface, '{T.IDEOGRAPH}') and translate(t.surface, '{T.KATA}', '{T.HIRA}') = key""",
     "override_append": f"""select surface, reading, jlpt_level from lexicon union all select * from (values {", ".join(f"('{a}', '{b}', {c})" for a, b, c, _ in OVERRIDES)}) as o(surface, reading, jlpt_level)

@@ -9,8 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Upper bound, in rows, of what `small()` is willing to mark for broadcast.
-BROADCAST_ROWS = 200_000
+#: Upper bounds, in rows and in bytes as JSON, of what `small()` is willing to mark for broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def build_session(app: str = "shiori", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -67,9 +67,11 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a check: `df` is counted first, and a side larger than
-    `limit` rows is left to a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """Broadcast hint behind a check: `df` is measured first, and a side of more than `limit`
+    rows or BROADCAST_BYTES is left to a shuffled join. Measuring is an aggregation, no
+    gathering of rows in one task."""
+    size = df.select(F.octet_length(F.to_json(F.struct("*"))).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if size["n"] <= limit and size["b"] <= BROADCAST_BYTES else df
 
 
 def ship(spark: SparkSession) -> None:

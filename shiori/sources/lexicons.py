@@ -44,7 +44,7 @@ def adapt_words(rows: DataFrame) -> DataFrame:
 
     surface, level = T.word_pattern(pick("surface")), T.level_number(pick("level"))
     checked = F.when(surface.isNull() | level.isNull(), F.raise_error(F.lit("a word list row has no word or no level")).cast("string")).otherwise(surface)
-    return rows.select(checked.alias("surface"), T.word_pattern(pick("reading")).alias("reading"), level.alias("jlpt_level"), pick("meaning").alias("meaning")).withColumn("entry_pos", F.monotonically_increasing_id().cast("int"))
+    return rows.select(checked.alias("surface"), T.word_pattern(pick("reading")).alias("reading"), level.alias("jlpt_level"), pick("meaning").alias("meaning")).withColumn("entry_pos", F.monotonically_increasing_id())
 
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:

@@ -91,3 +91,22 @@ def test_plain_functions():
     assert pure.title_key("ぼっち・ざ・ろっく！") == "ぼっちざろっく"
     assert pure.fuzzy("yakusoku", "yksok") >= 12 and pure.fuzzy("やくそく", "yakusk") == 0
     assert all(len(s) <= 120 for s in pure.segments("あ" * 500))
+    assert pure.romaji("ファイル") == "fuairu" and pure.romaji("ティー") == "teii" and pure.romaji("がっこう、ラーメン") == "gakkou、raamen"
+    assert pure.ruby("良い", "よい; いい") == [("良", "よ"), ("い", "")] and pure.ruby("かな", "かな") == [("かな", "")] and pure.ruby("今日", "") == [("今日", "")]
+    page = "<head><title>x</title></head><h1>第一章</h1><p>本文<b>です</b></p><figure><figcaption>図</figcaption></figure><script>a</script>終わり"
+    assert pure.html_text(page) == "第一章\n\n本文です\n\n図\n\n終わり"
+
+
+def test_glosses():
+    from shiori.sources import glosses as g
+
+    raw = {"（みる）①【他动2】看，观看": ("看，观看", "他动", "みる"), "(いま1) 现在": ("现在", "", "いま"), "⓪【名·ナ形】真；实在": ("真；实在", "名词|な形容词", ""), "（romantic）④【ナ形】浪漫的": ("浪漫的", "な形容词", ""), "": ("", "", "")}
+    for text, want in raw.items():
+        assert tuple(g.entry(text).values()) == want
+    cases = {
+        "花。\nきれいな花を見る\n看美丽的花。": "花。", "名·形动 安静。": "安静。", "1. 早上。\n朝は寒い\n早上很冷。\n2. 早晨": "早上。；早晨", "看。；【観る】 观赏。": "看；观赏。",
+        "テレビ (terebi，“电视”) 的简称": "电视", "姓的另一种写法：姓氏": "姓氏", "见ビル。": "", "【job】见ジョブ。": "", "路灯。==日语==": "路灯。", "〔访れる〕拜访": "拜访", "同ね (ne)。": "",
+        "→ たま [玉・珠]，宝石": "宝石", "洗う (arau) 的连用形 [五段动词]": "", "root": "", "灌木（Zanthoxylum）": "灌木", ":Template:音乐 小提琴。": "小提琴。", "比喻：抽象": "比喻：抽象", "": "", " ；; ": "",
+    }
+    for text, want in cases.items():
+        assert g.wiktionary(text) == want, text
