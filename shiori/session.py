@@ -106,8 +106,8 @@ def release(spark: SparkSession) -> None:
 def fixed_plans(spark: SparkSession, partitions: int):
     """Run plans of known size with `partitions` shuffle partitions and without adaptive
     execution, whose threads and plan versions weigh on the driver in long loops. The caller
-    splits hot keys itself."""
-    want = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(partitions)}
+    splits hot keys itself. Their plans aren't described at length, which the driver would keep."""
+    want = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(partitions), "spark.sql.maxPlanStringLength": "2000"}
     before = {k: spark.conf.get(k) for k in want}
     for k, v in want.items():
         spark.conf.set(k, v)
