@@ -610,6 +610,10 @@ def repair(rows: DataFrame, rounds: int = 2, shrink: float = 50.0, threshold: fl
     for r in best.mapInPandas(moved, "p int, c string, n double").groupBy("p", "c").agg(F.sum("n").alias("n")).collect():
         counts[(r["p"], r["c"])] = counts.get((r["p"], r["c"]), 0.0) + r["n"]
     again = found.select("row_key", "source", "field", "text").distinct()
+    # few bytes but much work a row: spread by rows, not by bytes
+    spark = rows.sparkSession
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    again = again.repartition(min(most, 1 + found.count() // 500), "row_key")
     post = _weigh(settle(_likelihoods(again, counts, -8.0)), sizes, rounds, shrink)
     one = post.groupBy("row_key", "field").agg(F.sum("post").alias("posterior"), F.max_by(F.struct("chain", "restored"), F.struct("post", "chain")).alias("b"), F.max(F.col("chain") == "lossy").alias("lossy"))
     return one.where(F.col("posterior") > threshold).select("row_key", "field", "b.chain", F.round("posterior", 6).alias("posterior"), F.when(~F.col("lossy"), F.col("b.restored")).alias("restored"))
