@@ -14,7 +14,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -35,91 +34,147 @@ VOTES = ["marker", "columns", "figures", "repeats", "endings", "common", "senten
 WHY = {"en", "de", "fr", "es"}
 
 
-def script_of(text: str) -> str:
-    """Language by script, or "latin"."""
-    n = Counter("ja" if "ぁ" <= c <= "ヿ" else "zh" if "一" <= c <= "鿿" else "ko" if "가" <= c <= "힣" else "hi" if "ऀ" <= c <= "ॿ" else "latin" if c.isalpha() else "" for c in text)
-    n.pop("", None)
+class _Kinds(dict):
+    """What each character is: (a letter, a letter or Devanagari sign, a digit, its script); looked up once a character."""
+
+    def __missing__(self, c: str) -> tuple[bool, bool, bool, str]:
+        script = "ja" if "ぁ" <= c <= "ヿ" else "zh" if "一" <= c <= "鿿" else "ko" if "가" <= c <= "힣" else "hi" if "ऀ" <= c <= "ॿ" else "latin" if c.isalpha() else ""
+        self[c] = c.isalpha(), c.isalpha() or "ऀ" <= c <= "ॿ", c.isdigit(), script
+        return self[c]
+
+
+_kinds = _Kinds()
+
+
+def script_of(n: dict[str, int]) -> str:
+    """Language by the characters of each script, or "latin"."""
     if n.get("ja", 0) > 0.05 * sum(n.values()):
         return "ja"
     return max(n, key=lambda k: (n[k], k), default="latin")
 
 
-def common_share(text: str, words: list[str], common: dict[str, set[str]]) -> float:
+class Common:
+    """Common words by language, with a pattern for those of scripts without spaces."""
+
+    def __init__(self, words: dict[str, set[str]]):
+        self.words = words
+        self.pattern = {k: re.compile("|".join(map(re.escape, sorted(words[k], key=len, reverse=True)))) for k in ("ja", "zh") if words.get(k)}
+
+
+def common_share(text: str, words: list[str], lang: str, letters: int, common: Common) -> float:
     """Share of the words that are common; without spaces, share of characters in common words."""
-    lang = script_of(text)
     if lang in ("ja", "zh"):
-        letters = sum(c.isalpha() for c in text)
-        known = sorted(common.get(lang, ()), key=len, reverse=True)
-        if not letters or not known:
+        if not letters or lang not in common.pattern:
             return 0.0
-        return sum(len(m) for m in re.findall("|".join(map(re.escape, known)), text)) / letters
+        return sum(map(len, common.pattern[lang].findall(text))) / letters
     words = [w.lower() for w in words if w[0].isalpha()]
     if not words:
         return 0.0
     if lang == "ko":
-        ends = tuple(common.get("ko", ()))
+        ends = tuple(common.words.get("ko", ()))
         return sum(text.count(e + " ") + text.count(e + ".") for e in ends) / max(1, len(text.split())) if ends else 0.0
     langs = [lang] if lang == "hi" else sorted(WHY)
-    return max((sum(w in common.get(k, ()) for w in words) / len(words) for k in langs), default=0.0)
-
-
-def statistics(text: str, common: dict[str, set[str]]) -> dict[str, float]:
-    """The measures of one text or block; all zero for an empty one."""
-    lines = [x for x in text.split("\n") if x.strip()]
-    words = WORD.findall(text)
-    solid = [c for c in text if not c.isspace()]
-    n = max(1, len(solid))
-    letters = sum(c.isalpha() or "ऀ" <= c <= "ॿ" for c in solid)
-    digits = sum(c.isdigit() for c in solid)
-    return {
-        "n_chars": len(solid), "n_lines": len(lines), "n_words": len(words),
-        "mean_word_length": sum(map(len, words)) / len(words) if words else 0.0,
-        "symbol_ratio": (len(solid) - letters - digits) / n if solid else 0.0,
-        "digit_ratio": digits / n if solid else 0.0,
-        "terminal_share": sum(bool(TERMINAL.search(x)) for x in lines) / len(lines) if lines else 0.0,
-        "common_share": common_share(text, words, common),
-    }
-
-
-def votes(block: str, s: dict[str, float]) -> list[int]:
+    return max((sum(map(common.words.get(k, set()).__contains__, words)) / len(words) for k in langs), default=0.0)
+
+
+class Measures:
+    """Counts of one block, from which its statistics and votes are made; those of a text are sums over its blocks."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.lines = [x for x in text.split("\n") if x.strip()]
+        self.ended = [bool(TERMINAL.search(x)) for x in self.lines]
+        self.words = WORD.findall(text)
+        self.chars = Counter("".join(text.split()))
+
+    @classmethod
+    def of(cls, text: str, parts: list["Measures"]) -> "Measures":
+        if len(parts) == 1:
+            return parts[0]
+        out = cls("")
+        out.text = text
+        for p in parts:
+            out.lines += p.lines
+            out.ended += p.ended
+            out.words += p.words
+            out.chars.update(p.chars)
+        return out
+
+    def statistics(self, common: Common) -> dict[str, float]:
+        n = self.chars.total()
+        alpha = letters = digits = 0
+        scripts: dict[str, int] = {}
+        for c, k in self.chars.items():
+            is_alpha, is_letter, is_digit, script = _kinds[c]
+            if is_letter:
+                letters += k
+                alpha += k * is_alpha
+            if script:
+                scripts[script] = scripts.get(script, 0) + k
+            digits += k * is_digit
+        self.lang = script_of(scripts)
+        return {
+            "n_chars": n, "n_lines": len(self.lines), "n_words": len(self.words),
+            "mean_word_length": sum(map(len, self.words)) / len(self.words) if self.words else 0.0,
+            "symbol_ratio": (n - letters - digits) / n if n else 0.0,
+            "digit_ratio": digits / n if n else 0.0,
+            "terminal_share": sum(self.ended) / len(self.lines) if self.lines else 0.0,
+            "common_share": common_share(self.text, self.words, self.lang, alpha, common),
+        }
+
+
+#: Six or more of one character in a row.
+REPEATED = re.compile(r"(.)\1{5,}", re.S)
+TAGGED = re.compile(r"\d|[（(][^（）()]{1,12}[）)]")
+
+
+def votes(m: Measures, s: dict[str, float]) -> list[int]:
     """+1 junk, -1 natural, 0 abstains; in the order of VOTES."""
-    lines = [x for x in block.split("\n") if x.strip()]
+    block, lines, words = m.text, m.lines, m.words
     k = len(lines)
     chars = max(1, int(s["n_chars"]))
-    marked = sum(bool(BULLET.match(x)) for x in lines) / max(1, k)
     stripped = [BULLET.sub("", x).strip() for x in lines]
-    lang = script_of(block)
-    gaps = [len(GAP.findall(x)) for x in lines]
-    columns = sum(g >= 1 for g in gaps) / max(1, k)
-    cells = [c for x in lines for c in re.split(GAP, x) if c and c.strip()]
-    figures = sum(bool(CELL.match(c.strip())) for c in cells) / max(1, len(cells))
+    marked = sum(bool(BULLET.match(x)) for x in lines) / max(1, k)
+    rows = [GAP.split(x) for x in lines]
+    columns = sum(len(r) > 1 for r in rows) / max(1, k)
+    cells = [c for r in rows for c in map(str.strip, r) if c]
+    figures = sum(bool(CELL.match(c)) for c in cells) / max(1, len(cells))
     ends = len(SENTENCE_END.findall(block))
-    runs = sum(m for _, g in groupby(c for c in block if not c.isspace()) if (m := sum(1 for _ in g)) >= 6) / chars
-    words = WORD.findall(block)
+    runs = sum(len(r.group()) for r in REPEATED.finditer("".join(block.split()))) / chars
     variety = len(set(words)) / max(1, len(words))
     mean_line = chars / max(1, k)
     widths = [len(x) for x in lines[:-1]]
     even = k >= 2 and min(widths) >= 15 and max(widths) - min(widths) <= max(3, 0.2 * max(widths))
     machine = sum(len(x) for x in lines if MACHINE.search(x)) / max(1, sum(map(len, lines)))
-    tagged = sum(bool(re.search(r"\d|[（(][^（）()]{1,12}[）)]", x)) and not TERMINAL.search(x) for x in lines) / max(1, k)
-    wide = lang in ("ja", "zh", "ko")
+    tagged = sum(not e and bool(TAGGED.search(x)) for x, e in zip(lines, m.ended)) / max(1, k)
+    wide = m.lang in ("ja", "zh", "ko")
     long_line = 12 if wide else 40
     return [
         (1 if marked >= 0.6 and s["terminal_share"] < 0.4 and (k > 1 or s["common_share"] < 0.05) else 0) or (-1 if marked == 0 and mean_line > 2 * long_line and ends else 0),
-        1 if k >= 2 and columns >= 0.7 and s["terminal_share"] < 0.3 or k == 1 and gaps[0] >= 3 and not ends else 0,
+        1 if k >= 2 and columns >= 0.7 and s["terminal_share"] < 0.3 or k == 1 and len(rows[0]) > 3 and not ends else 0,
         1 if figures >= 0.3 and len(cells) >= 3 else 0,
         1 if runs > 0.3 or len(words) >= 12 and variety < 0.35 and ends < len(words) / 30 else 0,
         1 if s["terminal_share"] == 0 and k >= 3 and mean_line < (8 if wide else 40) and s["common_share"] < 0.1 else -1 if s["terminal_share"] >= 0.6 else 0,
         -1 if s["common_share"] >= (0.08 if wide else 0.15) else 1 if s["common_share"] < (0.03 if wide else 0.08) and chars >= 12 else 0,
         -1 if ends * (60 if wide else 160) >= chars else 1 if ends == 0 and k >= 4 and mean_line < long_line / 2 else 0,
         -1 if even and not marked and columns < 0.3 and s["common_share"] >= 0.06 else 0,
-        1 if k >= 3 and sum(len(re.findall(r"\S+", x)) <= 4 and not TERMINAL.search(x) for x in stripped) >= 0.8 * k and (s["common_share"] < 0.1 or not wide) and len(set(stripped)) < 0.9 * k else 0,
+        1 if k >= 3 and sum(len(x.split()) <= 4 and not TERMINAL.search(x) for x in stripped) >= 0.8 * k and (s["common_share"] < 0.1 or not wide) and len(set(stripped)) < 0.9 * k else 0,
         1 if s["symbol_ratio"] > 0.35 else -1 if s["symbol_ratio"] < 0.12 and ends else 0,
         1 if k >= 2 and tagged >= 0.6 else -1 if k >= 2 and tagged <= 0.1 and mean_line >= 7 and s["common_share"] >= 0.04 and columns < 0.3 and not marked and len(set(lines)) >= 0.8 * k else 0,
         1 if machine >= 0.5 else 0,
     ]
 
 
+def measured(text: str, common: Common) -> tuple[dict[str, float], Counter]:
+    """The statistics of a text, and how many characters of its blocks show each pattern of votes."""
+    parts = [Measures(b) for b in blocks(text)]
+    per: Counter = Counter()
+    for m in parts:
+        s = m.statistics(common)
+        per[tuple(votes(m, s))] += s["n_chars"]
+    return (s if len(parts) == 1 else Measures.of(text, parts).statistics(common)), per
+
+
 def blocks(text: str) -> list[str]:
     return [b for b in re.split(r"\n[ \t　]*\n+", text.replace("\r\n", "\n")) if b.strip()]
 
@@ -167,32 +222,29 @@ def text_types(docs: DataFrame, common: DataFrame, key: str = "doc_id", text: st
     known: dict[str, set[str]] = {}
     for r in common.where("lang is not null and word is not null").collect():
         known.setdefault(r["lang"], set()).add(r["word"].lower())
-    names = list(statistics("", known))
+    names = list(Measures("").statistics(Common(known)))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from shiori.llm import quality as q
 
+        words = q.Common(known)
         for b in batches:
             out = []
             for k, t in zip(b["k"], b["t"].fillna("")):
-                s = q.statistics(t, known)
-                per: Counter = Counter()
-                for block in q.blocks(t):
-                    bs = q.statistics(block, known)
-                    per[tuple(q.votes(block, bs))] += bs["n_chars"]
+                s, per = q.measured(t, words)
                 out.append((k, *(float(s[n]) for n in names), [",".join(map(str, p)) for p in per], list(per.values())))
             yield pd.DataFrame(out, columns=["k", *names, "patterns", "sizes"])
 
     kind = docs.schema[key].dataType.simpleString()
     cols = ", ".join(f"{n} double" for n in names)
-    measured = settle(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(measure, f"k {kind}, {cols}, patterns array<string>, sizes array<long>"))
-    seen = measured.select(F.explode("patterns").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = settle(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(measure, f"k {kind}, {cols}, patterns array<string>, sizes array<long>"))
+    seen = rows.select(F.explode("patterns").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()
     post = {",".join(map(str, k)): v for k, v in learn({tuple(map(int, r["p"].split(","))): r["n"] for r in seen}).items()}
-    table_ = measured.sparkSession.createDataFrame(sorted(post.items()) or [("", 0.0)], "p string, junk double")
-    parts = measured.select("k", F.explode(F.arrays_zip("patterns", "sizes")).alias("x")).select("k", F.col("x.patterns").alias("p"), F.col("x.sizes").alias("n"))
+    table_ = rows.sparkSession.createDataFrame(sorted(post.items()) or [("", 0.0)], "p string, junk double")
+    parts = rows.select("k", F.explode(F.arrays_zip("patterns", "sizes")).alias("x")).select("k", F.col("x.patterns").alias("p"), F.col("x.sizes").alias("n"))
     share = parts.join(F.broadcast(table_), "p").groupBy("k").agg((F.sum(F.when(F.col("junk") > 0.5, F.col("n")).otherwise(0)) / F.greatest(F.sum("n"), F.lit(1))).alias("junk_share"))
     whole = ["n_chars", "n_lines", "n_words"]
-    out = measured.join(share, "k", "left").withColumn("junk_share", F.coalesce("junk_share", F.lit(0.0)))
+    out = rows.join(share, "k", "left").withColumn("junk_share", F.coalesce("junk_share", F.lit(0.0)))
     return out.select(
         F.col("k").alias(key), *(F.col(n).cast("long").alias(n) if n in whole else F.round(n, 6).alias(n) for n in names), F.round("junk_share", 6).alias("junk_share"),
         F.when(F.col("junk_share") > 0.5, "junk").otherwise("natural").alias("text_type"),
