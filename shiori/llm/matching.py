@@ -12,6 +12,7 @@ confidence.
 
 from __future__ import annotations
 
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from shiori.session import release, settle
 #: A word of a Latin title that is near a known name but not equal is taken for it if this few records hold it,
 #: or if it stands beside few other words for their number (sf0.1: common nouns 0.76 others a record and more).
 RARE_WORD, FEW_OTHERS = 30, 0.5
-ROUNDS, STEP, DAMPING = 12, 3, 0.3
+ROUNDS, STEP, DAMPING = 60, 3, 0.3
 
 
 def parse(records: DataFrame) -> DataFrame:
@@ -157,11 +158,17 @@ def same_work(p: DataFrame, parsed: DataFrame) -> DataFrame:
     """(rid, work): records of one table that describe the same work share `work`."""
     inside = p.where("l_tbl = r_tbl and odds > 3").select("l_rid", "r_rid")
     links = settle(inside.union(inside.select("r_rid", "l_rid")).toDF("a", "b"))
-    label = parsed.select("rid", F.col("rid").alias("work"))
-    for _ in range(4):
-        low = links.join(label, links["b"] == label["rid"]).groupBy("a").agg(F.min("work").alias("low"))
-        label = label.join(low, label["rid"] == low["a"], "left").select("rid", F.least("work", F.coalesce("low", "work")).alias("work"))
-    return settle(label)
+    label = links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("work")).withColumnRenamed("a", "rid")
+    more = True
+    while more:
+        now = label.withColumn("was", F.col("work"))
+        for _ in range(3):
+            low = links.join(now.select(F.col("rid").alias("b"), "work"), "b").groupBy(F.col("a").alias("rid")).agg(F.min("work").alias("low"))
+            now = now.join(low, "rid").select("rid", F.least("work", "low").alias("work"), "was")
+        now = settle(now)
+        more = not now.where("work < was").isEmpty()
+        label = now.select("rid", "work")
+    return parsed.select("rid").join(label, "rid", "left").select("rid", F.coalesce("work", "rid").alias("work"))
 
 
 def propagate(p: DataFrame, works: DataFrame) -> DataFrame:
@@ -189,6 +196,8 @@ def propagate(p: DataFrame, works: DataFrame) -> DataFrame:
         release(v.sparkSession)
         if change is None or change < 0.01:
             break
+    else:
+        warnings.warn(f"beliefs still change by {change:.3f} after {ROUNDS} rounds", stacklevel=2)
     return v.withColumn("confidence", F.round(1 / (1 + F.exp(-(F.col("odds") + F.col("to_left") + F.col("to_right")))), 6))
 
 
