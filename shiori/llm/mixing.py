@@ -1,19 +1,22 @@
 """Problem 9: mixing sources to target weights.
 
-Method: Pfair scheduling. The mixture is a sequence of slots of one block of tokens
-each. Block k (from 0) of a source of weight w is released at slot floor(k / w) and due
-before slot ceil((k + 1) / w); earliest deadline first then gives each source at any
-time its share but for a few blocks, however long the mixture is (2.3 at most in 150 random
-cases with periods of 50 slots; clipping at a period's ends costs more than one). Weights are exact over the whole length: the driver
-only fixes how many blocks of each source the first p periods of slots hold, each the exact
-amount rounded up or down, and executors put the blocks of a period in order, each period by
-itself; rounding never adds up. Documents find their slot by a join on (source, block).
+Method: Pfair scheduling. The mixture is a sequence of slots of one block of tokens each.
+Block k (from 0) of a source that has the share w of all blocks is released at slot
+floor(k / w) and due before slot ceil((k + 1) / w); earliest deadline first among the
+released then serves every block in its window, so that each source is at any time less
+than one block from its share. A text longer than a block is served part by part, in the
+slots of the blocks its tokens lie in.
+
+Up to PERIOD slots are scheduled at once. A longer mixture is cut into periods, each
+scheduled by itself by an executor: the driver only fixes how many blocks each source has
+at a period's start, its exact amount rounded up or down, and within the period a source's
+share is its part of the period's blocks. The distance is then below two blocks, however
+long the mixture is: one from the period's ends, one within it. `shares` reports it.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,9 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiori.llm.spread import running
-from shiori.session import settle
+from shiori.session import settle, small
 
-PERIOD = 5000
+PERIOD = 1 << 20
 BLOCK_TOKENS = 1024
 
 
@@ -52,77 +55,46 @@ def allocate(sources: list[tuple[str, float, int, int]], total: float | None = N
     return got
 
 
-def schedule(shares: dict[str, float], period: int = PERIOD) -> list[str]:
-    """The source of every slot of one period: earliest deadline first among the released."""
-    total = sum(shares.values())
-    if total <= 0:
-        return []
-    exact = {s: v / total * period for s, v in shares.items() if v > 0}
-    quota = {s: max(1, int(v)) for s, v in exact.items()}
-    for s in sorted(exact, key=lambda s: (quota[s] - exact[s], s)):  # largest remainders first
-        if sum(quota.values()) >= period:
-            break
-        quota[s] += 1
-    slots = sum(quota.values())
-    released: list[tuple[int, str, int]] = []
-    waiting = [(0, s, 0) for s in sorted(quota)]
-    heapq.heapify(waiting)
-    order: list[str] = []
-    for t in range(slots):
-        while waiting and waiting[0][0] <= t:
-            _, s, k = heapq.heappop(waiting)
-            heapq.heappush(released, (-(-(k + 1) * slots // quota[s]), s, k))
-        _, s, k = heapq.heappop(released)
-        order.append(s)
-        if k + 1 < quota[s]:
-            heapq.heappush(waiting, ((k + 1) * slots // quota[s], s, k + 1))
-    return order
-
-
-def boundaries(give: dict[str, int], block: int, period: int = PERIOD) -> list[dict[str, int]]:
+def boundaries(blocks: dict[str, int], period: int = PERIOD) -> list[dict[str, int]]:
     """Blocks of each source before slot 0, period, 2 period and so on, and at the end.
 
-    The parts of a block a source is due go to those whose next block is due first.
+    A source has its exact amount rounded down, or up where its next block is due first.
     """
-    total = sum(give.values())
-    out = [dict.fromkeys(give, 0)]
-    last = {s: -(-g // block) for s, g in give.items()}
-    for t in range(period, total // block, period):
-        now = {s: max(out[-1][s], g * t // total) for s, g in give.items()}
-        now = {s: min(n, last[s]) for s, n in now.items()}
-        for s in sorted(give, key=lambda s: (-(-(now[s] + 1) * total // give[s]), s)):
-            if sum(now.values()) < t and now[s] < last[s] and now[s] * total < give[s] * t:
+    total = sum(blocks.values())
+    out = [dict.fromkeys(blocks, 0)]
+    for t in range(period, total, period):
+        now = {s: max(out[-1][s], n * t // total) for s, n in blocks.items()}
+        for s in sorted(blocks, key=lambda s: (-(-(now[s] + 1) * total // blocks[s]), s)):
+            if sum(now.values()) < t and now[s] * total < blocks[s] * t:
                 now[s] += 1
-        over = sum(now.values()) - t
-        for s in sorted(give, key=lambda s: (-give[s], s))[: max(over, 0)]:
+        for s in sorted(blocks, key=lambda s: (-blocks[s], s))[: max(sum(now.values()) - t, 0)]:
             now[s] -= 1
         out.append(now)
-    return [*out, last]
+    return [*out, dict(blocks)]
 
 
-def period_order(give: dict[str, int], start: dict[str, int], end: dict[str, int]) -> list[tuple[str, int, int]]:
+def period_order(start: dict[str, int], end: dict[str, int]) -> list[tuple[str, int, int]]:
     """(source, block, slot) of the blocks from `start` to `end`: earliest deadline first among the released."""
-    total, t = sum(give.values()), sum(start.values())
-    waiting = [(start[s] * total // give[s], s, start[s]) for s in sorted(give) if start[s] < end[s]]
-    heapq.heapify(waiting)
+    count = {s: end[s] - start[s] for s in start if end[s] > start[s]}
+    total, at = sum(count.values()), sum(start.values())
+    waiting = [(0, s, 0) for s in sorted(count)]
     released: list[tuple[int, str, int]] = []
     out: list[tuple[str, int, int]] = []
-    while waiting or released:
-        while waiting and (waiting[0][0] <= t or not released):
+    for t in range(total):
+        while waiting and waiting[0][0] <= t:
             _, s, k = heapq.heappop(waiting)
-            heapq.heappush(released, (-(-(k + 1) * total // give[s]), s, k))
+            heapq.heappush(released, (-(-(k + 1) * total // count[s]), s, k))
         _, s, k = heapq.heappop(released)
-        out.append((s, k, t))
-        t += 1
-        if k + 1 < end[s]:
-            heapq.heappush(waiting, ((k + 1) * total // give[s], s, k + 1))
+        out.append((s, start[s] + k, at + t))
+        if k + 1 < count[s]:
+            heapq.heappush(waiting, ((k + 1) * total // count[s], s, k + 1))
     return out
 
 
-def _slots(spark: SparkSession, give: dict[str, int], block: int) -> DataFrame:
+def _slots(spark: SparkSession, blocks: dict[str, int]) -> DataFrame:
     """(source, blk, slot) of every block of the mixture."""
-    at = boundaries(give, block) if give else []
-    names = sorted(give)
+    at = boundaries(blocks) if blocks else []
+    names = sorted(blocks)
     rows = [(i, [a[s] for s in names], [b[s] for s in names]) for i, (a, b) in enumerate(zip(at, at[1:]))]
 
     def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,21 +102,23 @@ def _slots(spark: SparkSession, give: dict[str, int], block: int) -> DataFrame:
 
         for b in batches:
             for start, end in zip(b["first"], b["last"]):
-                got = mixing.period_order(give, dict(zip(names, map(int, start))), dict(zip(names, map(int, end))))
+                got = mixing.period_order(dict(zip(names, map(int, start))), dict(zip(names, map(int, end))))
                 yield pd.DataFrame(got, columns=["source", "blk", "slot"])
 
-    return spark.createDataFrame(rows, "period long, first array<long>, last array<long>").mapInPandas(order, "source string, blk long, slot long")
+    return spark.createDataFrame(rows, "period long, first array<long>, last array<long>").repartition(max(1, len(rows))).mapInPandas(order, "source string, blk long, slot long")
 
 
 def mix(docs: DataFrame, weights: DataFrame, key: str, source: str, size: str, total: float | None = None, block: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
     """(mixture, shares).
 
-    mixture: slot, source, key, copy_no, n_tokens; read in the order of (slot, source,
-    offset). shares: one row a source of `weights`, with target, tokens, actual share and
-    repeats. Documents without weight, of null source or without tokens aren't used; a
-    source without documents comes out with share 0. A document is never cut: a source
+    mixture: slot, source, key, copy_no, part_no, token_start, n_tokens; read in the order of
+    (slot, source_offset). A row is the part of a text whose tokens, from token_start on, lie
+    in one block. shares: one row a source of `weights`, with target, tokens, actual share,
+    repeats, and the largest distance from that share, in blocks, over all prefixes.
+    Documents without weight, of null source or without tokens aren't used; a source without
+    documents comes out with share 0. A text that has begun comes out to its end: a source
     overshoots its share by less than one document.
-    `weights` is a table of a row a source, gathered on the driver with a total each.
+    `weights` is a table of a row a source, gathered on the driver with its totals.
     """
     spark = docs.sparkSession
     named = docs.select(key, F.col(source).alias("source"), F.col(size).cast("long").alias("n_tokens")).where("n_tokens > 0")
@@ -154,22 +128,21 @@ def mix(docs: DataFrame, weights: DataFrame, key: str, source: str, size: str, t
     sums = placed.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"))
     listed = [(r["source"], r["target_weight"] or 0.0, r["n_tokens"] or 0, r["max_repeats"] or 0) for r in w.join(sums, "source", "left").collect()]
     give = allocate(listed, total)
-    slots = _slots(spark, {s: math.ceil(v) for s, v in give.items() if v > 0}, block)
     bounds = spark.createDataFrame([(s, n, r, give.get(s, 0.0)) for s, _, n, r in listed], "source string, held long, max_repeats int, give double")
     passes = F.least(F.col("max_repeats"), F.ceil(F.col("give") / F.col("held")).cast("int"))
-    copies = placed.join(F.broadcast(bounds), "source").where("give > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0), passes - 1)))
+    copies = placed.join(small(bounds), "source").where("give > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0), passes - 1)))
     copies = copies.withColumn("at", F.col("before") + F.col("copy_no").cast("long") * F.col("held")).where(F.col("at") < F.col("give"))
-    copies = copies.withColumn("blk", F.floor(F.col("at") / block))
-    mixture = copies.join(slots, ["source", "blk"]).select("slot", "source", key, (F.col("copy_no") + 1).alias("copy_no"), "n_tokens", F.col("at").alias("source_offset"))
-    got = mixture.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"), F.max("copy_no").alias("repeats"))
-    whole = F.sum("tokens").over(_all())
-    shares = w.join(got, "source", "left").select(
-        "source", "target_weight", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("rows", F.lit(0)).alias("documents"), F.coalesce("repeats", F.lit(0)).alias("repeats"), (F.coalesce("tokens", F.lit(0)) / whole).alias("actual_share")
-    )
+    got = copies.groupBy("source").agg(F.max(F.col("at") + F.col("n_tokens")).alias("tokens"), F.count(F.lit(1)).alias("documents"), (F.max("copy_no") + 1).alias("repeats")).collect()
+    blocks = {r["source"]: -(-r["tokens"] // block) for r in got}
+    slots = settle(_slots(spark, blocks))
+    blk = F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("n_tokens") - 1) / block)))
+    parts = copies.select("source", key, "copy_no", "at", "n_tokens", blk.alias("blk"))
+    first = F.greatest(F.col("at"), F.col("blk") * block)
+    parts = parts.select("source", key, (F.col("copy_no") + 1).alias("copy_no"), "blk", (F.col("blk") - F.floor(F.col("at") / block)).alias("part_no"), (first - F.col("at")).alias("token_start"), (F.least(F.col("at") + F.col("n_tokens"), (F.col("blk") + 1) * block) - first).alias("n_tokens"), first.alias("source_offset"))
+    mixture = parts.join(slots, ["source", "blk"]).select("slot", "source", key, "copy_no", "part_no", "token_start", "n_tokens", "source_offset")
+    whole, all_tokens = sum(blocks.values()), sum(r["tokens"] for r in got)
+    rows = [(r["source"], r["tokens"], r["documents"], r["repeats"], r["tokens"] / all_tokens, blocks[r["source"]] / whole) for r in got]
+    kept = small(spark.createDataFrame(rows, "source string, tokens long, documents long, repeats int, actual_share double, w double"))
+    far = slots.join(kept.select("source", "w"), "source").groupBy("source").agg(F.max(F.greatest(F.abs(F.col("blk") - F.col("w") * F.col("slot")), F.abs(F.col("blk") + 1 - F.col("w") * (F.col("slot") + 1)))).alias("largest_deviation"))
+    shares = w.join(kept, "source", "left").join(far, "source", "left").select("source", "target_weight", "max_repeats", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "documents", "repeats")), F.coalesce("actual_share", F.lit(0.0)).alias("actual_share"), F.coalesce("largest_deviation", F.lit(0.0)).alias("largest_deviation"))
     return mixture, shares
-
-
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiori.llm.spread import running
+from shiori.session import small
 
 
 def fill(first: int, capacity: int, sizes: list[int], count: dict[int, int]) -> dict[int, int]:
@@ -29,7 +30,7 @@ def fill(first: int, capacity: int, sizes: list[int], count: dict[int, int]) ->
             k -= 1
         if k < 0:
             break
-        # as many of this size as fit, but for the last one: two smaller may fill better
+        # as many of this size as fit and are left
         s = sizes[k]
         times = min(left // s, count[s] - content.get(s, 0))
         content[s] = content.get(s, 0) + times
@@ -96,7 +97,8 @@ def pack(items: DataFrame, key: str, size: str, capacities: dict[str, int]) -> D
     ranked = running(held, ["n_tokens"], F.struct(key, "piece_no"), F.lit(1))
     # Binary search is not built in; sizes have few spans each, and filter runs in the JVM.
     span = F.element_at(F.filter("spans", lambda x: x["from_rank"] <= F.col("before")), -1)
-    placed = ranked.join(spans, "n_tokens").withColumn("s", span).select(
+    # a row a size, so at most as many as the largest capacity has tokens
+    placed = ranked.join(small(spans), "n_tokens").withColumn("s", span).select(
         key, "piece_no", "piece_start", "n_tokens", "s.pack_name", "s.capacity_tokens",
         (F.col("s.first_bin") + F.floor((F.col("before") - F.col("s.from_rank")) / F.col("s.a_bin"))).cast("long").alias("pack_id"),
     )

@@ -137,8 +137,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shiori.llm.frequency import marked_terms
 
-    m = table(spark, sf_dir, "matches")
-    return marked_terms(m, "word").unionByName(marked_terms(m, "matched_text"))
+    return marked_terms(table(spark, sf_dir, "matches"), ["word", "matched_text"])
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,11 +145,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_word_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Occurrences and lines of every sequence of one to three words."""
+    """Occurrences and lines of every sequence of words."""
     from shiori.llm.frequency import SEP, ngram_frequency
 
     m = table(spark, sf_dir, "matches")
-    return ngram_frequency(m, ["doc_id", "line_no"], "token_pos", "word", 3).select(
+    return ngram_frequency(m, ["doc_id", "line_no"], "token_pos", ["word"]).select(
         F.translate("ngram", SEP, " ").alias("ngram"), "n", "occurrences", "records"
     )
 
@@ -187,13 +186,13 @@ def p8_packs_of_each_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shiori.llm.mixing import mix
 
-    return mix(_document_sizes(spark, sf_dir), table(spark, sf_dir, "source_weights"), "doc_id", "source", "n_tokens")[0]
+    return mix(settle(_document_sizes(spark, sf_dir)), table(spark, sf_dir, "source_weights"), "doc_id", "source", "n_tokens")[0]
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shiori.llm.mixing import mix
 
-    return mix(_document_sizes(spark, sf_dir), table(spark, sf_dir, "source_weights"), "doc_id", "source", "n_tokens")[1]
+    return mix(settle(_document_sizes(spark, sf_dir)), table(spark, sf_dir, "source_weights"), "doc_id", "source", "n_tokens")[1]
 
 
 def p10_text_types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,14 +221,14 @@ from f, n
 
 P7_NGRAMS_SQL = """
 with m as (select distinct doc_id, line_no, token_pos, word from matches where word is not null),
-w as (select doc_id, line_no, word as a, lead(word, 1) over l as b, lead(word, 2) over l as c from m
-      window l as (partition by doc_id, line_no order by token_pos, word)),
-g as (select doc_id, line_no, a as ngram, 1 as n from w
-      union all select doc_id, line_no, a || ' ' || b, 2 from w where b is not null
-      union all select doc_id, line_no, a || ' ' || b || ' ' || c, 3 from w where c is not null)
+l as (select doc_id, line_no, list(word order by token_pos nulls first, word) as w from m group by doc_id, line_no),
+s as (select doc_id, line_no, w, unnest(range(1, len(w) + 1)) as i from l),
+e as (select doc_id, line_no, w, i, unnest(range(i, len(w) + 1)) as j from s),
+g as (select doc_id, line_no, array_to_string(list_slice(w, i, j), ' ') as ngram, cast(j - i + 1 as int) as n from e)
 select ngram, n, count(*) as occurrences, count(distinct (doc_id, line_no)) as records from g group by ngram, n
 """
 
+
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)

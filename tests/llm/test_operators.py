@@ -54,18 +54,20 @@ def test_ngrams_equal_brute_force(spark):
     tf, df = Counter(), {}
     for rec in range(9):
         t = [x[3] for x in rows if x[1] == rec]
-        for n in (1, 2, 3):
+        for n in range(1, 10):
             for i in range(len(t) - n + 1):
                 g = frequency.SEP.join(t[i : i + n])
                 tf[g] += 1
                 df.setdefault(g, set()).add(rec)
     kind = "doc_id string, line_no int, token_pos int, word string, occ int"
     data = spark.createDataFrame(rows + rows[:5] + [("d", 3, 99, None, 1)], kind)
-    got = {x.ngram: (x.occurrences, x.records) for x in frequency.ngram_frequency(data, ["doc_id", "line_no"], "token_pos", "word", 3).collect()}
+    key = ["doc_id", "line_no"]
+    got = {x.ngram: (x.occurrences, x.records) for x in frequency.ngram_frequency(data, key, "token_pos", ["word"]).collect()}
     assert got == {g: (tf[g], len(df[g])) for g in tf}
-    ones = {x.ngram: (x.occurrences, x.records) for x in frequency.ngram_frequency(data, ["doc_id", "line_no"], "token_pos", "word").collect()}
-    assert ones == {g: (tf[g], len(df[g])) for g in tf if frequency.SEP not in g}
-    assert frequency.ngram_frequency(spark.createDataFrame([], kind), ["doc_id", "line_no"], "token_pos", "word", 2).count() == 0
+    ones = frequency.ngram_frequency(data, key, "token_pos", ["word", "doc_id"], report=1).collect()
+    assert {x.ngram: (x.occurrences, x.records) for x in ones if x.field_name == "word"} == {g: (tf[g], len(df[g])) for g in tf if frequency.SEP not in g}
+    assert [(x.ngram, x.records) for x in ones if x.field_name == "doc_id"] == [("d", 9)]
+    assert frequency.ngram_frequency(spark.createDataFrame([], kind), key, "token_pos", ["word"]).count() == 0
 
 
 def test_packs_hold_all_pieces(spark):
@@ -89,10 +91,19 @@ def test_mixture_keeps_caps_and_shares(spark):
     docs = [(i, "big" if i % 3 else "small", 50 + i % 7, "x") for i in range(600)] + [(1000, None, 9, "x"), (1001, "small", None, "x")]
     w = [("big", 0.5, 1), ("small", 0.5, 2), ("none", 0.2, 3)]
     m, s = mixing.mix(spark.createDataFrame(docs, "id long, source string, n int, slot string"), spark.createDataFrame(w, "source string, target_weight double, max_repeats int"), "id", "source", "n")
-    times = Counter((x.source, x.id) for x in m.collect())
+    times = Counter((x.source, x.id) for x in m.where("token_start = 0").collect())
     assert max(v for (src, _), v in times.items() if src == "small") <= 2 and max(v for (src, _), v in times.items() if src == "big") == 1
     shares = {x.source: x.actual_share for x in s.collect()}
     assert abs(shares["big"] - 0.5) < 0.01 and shares["none"] == 0
+    assert all(x.largest_deviation < 1 for x in s.collect())
+    # parts of a text are its tokens, once a copy
+    long = [(i, "big" if i % 2 else "small", 5000 + i, "x") for i in range(8)]
+    parts = mixing.mix(spark.createDataFrame(long, "id long, source string, n int, slot string"), spark.createDataFrame(w, "source string, target_weight double, max_repeats int"), "id", "source", "n")[0].collect()
+    sums, slots = Counter(), Counter()
+    for x in parts:
+        sums[x.source, x.id, x.copy_no] += x.n_tokens
+        slots[x.slot, x.source] += x.n_tokens
+    assert all(v == 5000 + i for (_, i, _), v in sums.items()) and len({t for t, _ in slots}) == len(slots) and max(slots.values()) == 1024
     empty = mixing.mix(spark.createDataFrame([], "id long, source string, n int"), spark.createDataFrame(w, "source string, target_weight double, max_repeats int"), "id", "source", "n")
     assert empty[0].count() == 0 and empty[1].count() == 3
 
