@@ -190,19 +190,6 @@ def export_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inside.join(start, "k").select("word", "level", "n", (F.col("start") + F.col("i")).alias("place"))
 
 
-def candidate_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row of conditional counters over all words."""
-    n = C.matches(spark, sf_dir).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("reading").isNotNull()).alias("read"))
-    lex = C.lexicon(spark, sf_dir).select(F.col("surface").alias("word"), "jlpt_level", "meaning")
-    w = n.join(lex, "word", "left")
-    graded = F.col("jlpt_level").isNotNull()
-    return w.agg(
-        F.count(F.lit(1)).alias("words"), F.count_if(graded).alias("graded"), F.count_if(~graded).alias("ungraded"), F.count_if(graded & F.col("meaning").isNull()).alias("graded_without_meaning"),
-        F.count_if(F.col("read")).alias("with_reading"), F.count_if(F.col("n") == 1).alias("seen_once"), F.count_if(T.is_katakana_word(F.col("word"))).alias("katakana"), F.count_if(T.has_ideograph(F.col("word"))).alias("with_ideographs"),
-        F.sum("n").alias("occurrences"), F.sum(F.when(graded, F.col("n")).otherwise(0)).alias("graded_occurrences"),
-    )
-
-
 def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row of totals."""
     m = C.located(spark, sf_dir).agg(F.count(F.lit(1)).alias("matches"), F.count_distinct("word").alias("words"), F.count_distinct("title").alias("titles_with_matches"))
@@ -268,12 +255,8 @@ SQL = {
     "export_words": f"""with {CORE}, c as (select word, count(*) as n from mt group by word),
       b as (select coalesce(word, surface) as word, coalesce(jlpt_level, 0) as level, coalesce(n, 0) as n from c full outer join lex on word = surface)
       select word, level, n, row_number() over (order by n desc, case when level = 0 then 9 else level end, word) as place from b""",
-    "candidate_coverage": f"""with {CORE}, c as (select word, count(*) as n, bool_or(reading is not null) as r from mt group by word), w as (select * from c left join lex on word = surface)
-      select count(*) as words, count(*) filter (jlpt_level is not null) as graded, count(*) filter (jlpt_level is null) as ungraded, count(*) filter (jlpt_level is not null and meaning is null) as graded_without_meaning,
-        count(*) filter (r) as with_reading, count(*) filter (n = 1) as seen_once, count(*) filter (regexp_full_match(word, '{T.KATAKANA}+')) as katakana, count(*) filter (regexp_matches(word, '{T.IDEOGRAPH}')) as with_ideographs,
-        cast(sum(n) as bigint) as occurrences, cast(sum(case when jlpt_level is not null then n else 0 end) as bigint) as graded_occurrences from w""",
     "corpus_summary": f"""with {CORE} select (select count(*) from loc) as matches, (select count(distinct word) from loc) as words, (select count(distinct title) from loc) as titles_with_matches,
       (select count(*) from doc) as documents, (select count(distinct bangumi_id) from doc) as shows, (select count(*) from ln) as lines, (select cast(sum(coalesce(len(regexp_extract_all(text, '{J}+')), 0)) as bigint) from ln) as tokens""",
     "word_rollup": f"""with {CORE} select coalesce(source_type, 'all') as source_type, coalesce(jlpt_level, -1) as level, grouping(source_type, jlpt_level) as gid, count(*) as n from loc group by rollup (source_type, jlpt_level)""",
 }
-QUERIES = [token_totals, token_offsets, word_frequency_top, word_counts_by_source_type, word_source_counts, graded_word_stats, display_reading, level_totals, level_coverage, show_stats_by_level, lexicon_dedupe, reading_index_unique, resolve_tokens, override_append, study_candidates, embedded_katakana, character_rejections, zero_count_lexicon, export_words, candidate_coverage, corpus_summary, word_rollup]
+QUERIES = [token_totals, token_offsets, word_frequency_top, word_counts_by_source_type, word_source_counts, graded_word_stats, display_reading, level_totals, level_coverage, show_stats_by_level, lexicon_dedupe, reading_index_unique, resolve_tokens, override_append, study_candidates, embedded_katakana, character_rejections, zero_count_lexicon, export_words, corpus_summary, word_rollup]
