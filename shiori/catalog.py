@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shiori.plans import export, lookup, parsing, payload, sources, study, words
+from shiori.plans import dictionary, export, lookup, parsing, payload, sources, study, words
 from shiori.session import ship
 
-MODULES = [words, sources, parsing, lookup, study, export, payload]
+MODULES = [words, sources, parsing, lookup, study, export, payload, dictionary]
 
 
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

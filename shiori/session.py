@@ -129,6 +129,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def modified(spark: SparkSession, path: str) -> int:
+    """When a file or folder was last changed, in milliseconds; 0 if there is none."""
+    fs, p = _files(spark, path)
+    return fs.getFileStatus(p).getModificationTime() if fs.exists(p) else 0
+
+
 def mark(spark: SparkSession, path: str) -> None:
     """Make an empty folder, as a mark of a finished step."""
     fs, p = _files(spark, path)
