@@ -33,11 +33,21 @@ ROOM = 150_000.0
 LOSSY = re.compile("[\ufffd\ue000-\uf8ff]")
 
 UTF8 = r"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})"
+_ASCII = r"\x20-\x7e"
+
+
+def _run(pair: str, single: str, other: str = "") -> re.Pattern:
+    """Longest runs of an encoding's characters with one of two bytes at least; `single` are its one-byte
+    characters. Every byte begins one kind of character only, so nothing is tried twice."""
+    more = f"|{other}" if other else ""
+    return re.compile(f"(?<![{single}])(?:[{single}]{more})*+(?:{pair})(?:{pair}|[{single}]{more})*+")
+
+
 RUNS = {
     "utf-8": re.compile(UTF8 + "+"),
-    "cp932": re.compile(r"(?:[\x81-\x9f\xe0-\xfc][\x40-\x7e\x80-\xfc]|[\xa1-\xdf]|[\x20-\x7e])*[\x81-\x9f\xe0-\xfc][\x40-\x7e\x80-\xfc](?:[\x81-\x9f\xe0-\xfc][\x40-\x7e\x80-\xfc]|[\xa1-\xdf]|[\x20-\x7e])*"),
-    "euc_jp": re.compile(r"(?:[\xa1-\xfe]{2}|\x8e[\xa1-\xdf]|[\x20-\x7e])*[\xa1-\xfe]{2}(?:[\xa1-\xfe]{2}|\x8e[\xa1-\xdf]|[\x20-\x7e])*"),
-    "gb18030": re.compile(r"(?:[\x81-\xfe][\x40-\x7e\x80-\xfe]|[\x20-\x7e])*[\x81-\xfe][\x40-\x7e\x80-\xfe](?:[\x81-\xfe][\x40-\x7e\x80-\xfe]|[\x20-\x7e])*"),
+    "cp932": _run(r"[\x81-\x9f\xe0-\xfc][\x40-\x7e\x80-\xfc]", _ASCII + r"\xa1-\xdf"),
+    "euc_jp": _run(r"[\xa1-\xfe]{2}", _ASCII, r"\x8e[\xa1-\xdf]"),
+    "gb18030": _run(r"[\x81-\xfe][\x40-\x7e\x80-\xfe]", _ASCII),
 }
 UTF8_BYTES = re.compile(UTF8.encode() + rb"{2,}")
 #: Characters that no single-byte reading of another encoding leaves out altogether.
@@ -139,6 +149,7 @@ class Model:
             self.prev[p] += n
         self.total = sum(self.uni.values()) + 0.1 * ROOM
         self.memo: dict = {}
+        self.stretches: dict = {}
         self.lifts: list[_Lift] = []
         self.rarity = _Rarity(self)
         #: Mean of -log P(character) over the corpus.
@@ -235,6 +246,8 @@ class _Lift(dict):
 LIFT = 6.0
 
 
+#: Stretches whose best reading a task keeps.
+MEMO = 200_000
 #: Seven-bit Japanese between its escape sequences, the escape characters kept or lost.
 SHIFTED = re.compile(r"\x1b?\$[@B]((?:[\x21-\x7e]{2})+?)(?:\x1b?\([BJ]|$)")
 
@@ -250,39 +263,52 @@ def _shifted(m: re.Match) -> str:
 APART = re.compile("[\x20-\x7e]{3,}")
 
 
-def _undo_parts(text: str, true: str, read: str, model: Model | None) -> str | None:
+def _undo_parts(text: str, true: str, read: str, model: Model | None, mapped: str | None = None) -> str | None:
     """Undoes every stretch of high bytes by itself; with a model, only where it gains."""
-    mapped = text.translate(_tables[read])
+    mapped = text.translate(_tables[read]) if mapped is None else mapped
     last, out = 0, []
+    memo = model.stretches if model else {}
     for m in RUNS[true].finditer(mapped):
         a, b = m.span()
         edges = [a, *(x for e in APART.finditer(mapped, a, b) for x in (e.start() + 1, e.end())), b]
         for a, b in zip(edges[::2], edges[1::2]):
-            high = [i for i in range(a, b) if mapped[i] >= "\x80"]
-            if not high:
-                continue
-            top, best = 0.0, None
-            # a correct character may stand before the stretch or after it
-            for start in (high[0], *(high[1:2] if model else ())):
-                for end in {min(b, high[-1] + 2), high[-1] + 1, *([high[-1]] if model else [])}:
-                    if end <= start:
-                        continue
-                    try:
-                        dec = mapped[start:end].encode("latin-1").decode(true)
-                    except UnicodeError:
-                        continue
-                    p = classes(text[start - 1]) if start else START
-                    gain = model.score(dec, p) - model.score(text[start:end], p) if model else float(end)
-                    if gain > top:
-                        top, best = gain, (start, end, dec)
+            # the same stretches come again and again, such as the accented letters of a language
+            key = (true, read, text[a - 1 : a], text[a:b])
+            best = memo.get(key, 0)
+            if best == 0:
+                best = _undo_stretch(text, mapped, a, b, true, model)
+                if len(memo) < MEMO:
+                    memo[key] = best
             if best:
-                out += [text[last : best[0]], best[2]]
-                last = best[1]
+                out += [text[last : a + best[0]], best[2]]
+                last = a + best[1]
     return "".join([*out, text[last:]]) if out else None
 
 
-def _undo_single(text: str, true: str, read: str) -> str | None:
-    mapped = text.translate(_tables[read])
+def _undo_stretch(text: str, mapped: str, a: int, b: int, true: str, model: Model | None) -> tuple[int, int, str] | None:
+    """(start, end, restored) within text[a:b] of what gains most, if anything does."""
+    high = [i for i in range(a, b) if mapped[i] >= "\x80"]
+    if not high:
+        return None
+    top, best = 0.0, None
+    # a correct character may stand before the stretch or after it
+    for start in (high[0], *(high[1:2] if model else ())):
+        for end in {min(b, high[-1] + 2), high[-1] + 1, *([high[-1]] if model else [])}:
+            if end <= start:
+                continue
+            try:
+                dec = mapped[start:end].encode("latin-1").decode(true)
+            except UnicodeError:
+                continue
+            p = classes(text[start - 1]) if start else START
+            gain = model.score(dec, p) - model.score(text[start:end], p) if model else float(end)
+            if gain > top:
+                top, best = gain, (start - a, end - a, dec)
+    return best
+
+
+def _undo_single(text: str, true: str, read: str, mapped: str | None = None) -> str | None:
+    mapped = text.translate(_tables[read]) if mapped is None else mapped
     changed, last, out = False, 0, []
     for m in RUNS[true].finditer(mapped):
         a, b = m.span()
@@ -480,11 +506,12 @@ def readings(text: str, model: Model | None = None) -> dict[str, str]:
     if SUSPECT.search(text):
         utf8 = bool(SUSPECTS.search(text))
         much = len(SUSPECT.findall(text)) * 4 >= len(text) or bool(CLUSTER.search(text))
-        for r in SINGLE:
+        for r in SINGLE if utf8 or much else ():
+            mapped = text.translate(_tables[r])
             for t in TRUE:
                 if not (utf8 if t == "utf-8" else much):
                     continue
-                got = _undo_single(text, t, r) if t == "utf-8" else _undo_parts(text, t, r, model)
+                got = _undo_single(text, t, r, mapped) if t == "utf-8" else _undo_parts(text, t, r, model, mapped)
                 if got is not None and got != text:
                     out[f"{t}>{r}"] = got
                     again, n = got, 1
