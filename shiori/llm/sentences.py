@@ -1,7 +1,7 @@
 """Problem 6: sentence units across languages and scripts.
 
-Method: a linear-chain model tags the gaps between words as boundary or inside, and
-Viterbi decoding picks the best tags of a text. Emissions come from the marks in a gap,
+Method: a linear-chain model tags the gaps between words, and every place in a long run of
+letters without any mark, as boundary or inside, and Viterbi decoding picks the best tags of a text. Emissions come from the marks in a gap,
 where there are any that decide, and else from how often the letters before it end, and
 those after it open, a sentence. That part is trained on the corpus's own punctuated text
 with the punctuation stripped, so that it also serves where nothing but a blank, a line
@@ -213,12 +213,16 @@ def letters_only(s: str) -> str:
 
 
 #: Lift over the base rate from which a bare blank, break or symbol is more likely a boundary.
-BARE = {"blank": 1.6, "break": 1.1, "symbol": 0.6, "pause": 2.5}
+BARE = {"blank": 1.6, "break": 1.1, "symbol": 0.6, "pause": 2.5, "nothing": 4.5}
+#: So many letters of a script without blanks and nothing between them hold more than one sentence as a rule.
+UNPARTED = re.compile("[぀-ヿ㐀-鿿々〆]{30,}")
 
 
 def emission(s: str, a: int, b: int, model: Model) -> float:
-    """Log-odds of a boundary in the gap s[a:b]."""
+    """Log-odds of a boundary in the gap s[a:b], which is empty between letters of an unparted run."""
     sep = s[a:b]
+    if not sep:
+        return model.logit(letters_only(s[max(0, a - 12) : a]), letters_only(s[b : b + 8])) - BARE["nothing"]
     left, right = s[a - 1], s[b]
     marks = [c for c in sep if not c.isspace()]
     strong = [c for c in marks if c in STRONG]
@@ -277,13 +281,14 @@ def viterbi(scores: list[float], widths: list[int]) -> list[bool]:
 
 def cuts(text: str, model: Model, verse: bool = False) -> list[int]:
     """Numbers of code points before each sentence but the first."""
-    if verse or not text or not INNER_MARK.search(text):
+    if verse or not text or not INNER_MARK.search(text) and not UNPARTED.search(text):
         return []
     v = View(text)
     s = v.s
     closed: list[tuple[int, int]] = [p for p in pairs(s) if embedded(s, *p)]
     places = []
-    for a, b in gaps(s):
+    bare = [(k, k) for m in UNPARTED.finditer(s) for k in range(m.start() + 4, m.end() - 3)]
+    for a, b in sorted([*gaps(s), *bare]) if bare else gaps(s):
         if any(x < a and b <= y for x, y in closed):
             continue
         places.append((a, b))

@@ -159,6 +159,19 @@ def test_verse_has_no_cuts(model):
     assert sentences.cuts("読みました。見ます。", model, True) == []
 
 
+def test_runs_without_marks_are_cut():
+    n = {}
+    for who in ("彼女は", "友達が", "先生は", "家族と"):
+        for when in ("昨日", "今日", "明日", "春に"):
+            for what in ("図書館で本を読みました", "海へ行きます", "花を見ました", "駅前で会いました"):
+                sentences.examples(f"{when}{who}{what}。{when}も{what}。", n)
+    model = sentences.Model({k: tuple(v) for k, v in n.items()})
+    parts = ["昨日友達が図書館で本を読みました", "明日家族と海へ行きます", "今日彼女は駅前で会いました"]
+    text = "".join(parts)
+    assert sentences.cuts(text, model) == [len(parts[0]), len(parts[0]) + len(parts[1])]
+    assert sentences.cuts(parts[0] + "が", model) == []
+
+
 def test_pages():
     a = batches.page("https://www.x.example:443/a/b%2Dc/?utm_source=q&lang=ja&id=3#top")
     assert a == batches.page("http://X.example/a/b-c?id=3&lang=ja") != batches.page("http://x.example/a/b-c?id=4&lang=ja")
