@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from shiori.functions import text as T
 from shiori.functions import vector as V
+from shiori.functions.pure import variants
 from shiori.operators import corpus as C
-from shiori.plans.words import CORE, EXCLUDED_POS
+from shiori.plans.parsing import inflections, word_class
+from shiori.plans.words import CORE
 from shiori.session import small, table
 
 # Titles after a name.
 NAME_TITLES = ["さん", "くん", "君", "ちゃん", "様", "さま", "先生", "先輩", "後輩", "殿", "氏", "社長", "部長", "課長"]
-QUERY = ["手", "やく", "teg"]
+QUERY = ["手", "やく", "teg", "手 N5", "sense 5", "yomimashita"]
 GLOSSARY = [
     ("約束", "约定", "やくそく", 0), ("約束", "承诺", "", 1), ("上手", "擅长", "じょうず", 0), ("上手", "上座", "うわて; かみて", 1),
     ("手紙", "信", "", 1), ("運動", "运动", "うんどうする", 0), ("いい", "好", "", 0), ("良い", "好的", "よい", 1), ("水", "", "みず", 0), ("水", "水（补）", "みず", 1),
@@ -34,11 +36,11 @@ LYRICS = [
 
 
 def search_terms_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct short terms of each dictionary row: name, its parts, brand and type."""
-    p = table(spark, sf_dir, "part")
-    terms = F.array_distinct(F.concat(F.array("p_name"), F.split("p_name", " "), F.array("p_brand", "p_type")))
+    """Distinct short terms of each entry: surface, readings, meaning and its words; a hundred at most."""
+    x = C.lexicon(spark, sf_dir)
+    terms = F.array_distinct(F.concat(F.array("surface"), T.readings(F.col("reading")), F.array(F.coalesce("meaning", F.lit(""))), F.split(F.coalesce("meaning", F.lit("")), " ")))
     kept = F.slice(F.filter(terms, lambda x: (x != "") & (F.length(x) <= 300)), 1, 100)
-    return p.select("p_partkey", F.explode(kept).alias("term"))
+    return x.select("surface", F.explode(kept).alias("term"))
 
 
 def score(value: Column, term: Column, boost: Column) -> Column:
@@ -47,11 +49,27 @@ def score(value: Column, term: Column, boost: Column) -> Column:
     return F.when((value == "") | (F.length(term) > F.length(value) + 6), 0).otherwise(s)
 
 
-def search_entries(lex: DataFrame) -> DataFrame:
-    """(word, value, boost) of words, readings and meanings in all their variants."""
-    fields = F.array(*(F.struct(F.col(c).alias("v"), F.lit(b).alias("boost")) for c, b in (("surface", 48), ("reading", 44), ("meaning", 12))))
-    e = lex.select(F.col("surface").alias("word"), F.explode(fields).alias("f")).where("f.v is not null")
-    return e.select("word", F.explode(V.search_variants(F.col("f.v"))).alias("value"), F.col("f.boost").alias("boost")).distinct()
+def search_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(word, value, boost): every field a word is found by, in all its variants: the word, its reading,
+    meaning and level, inflections of both, written forms, and titles, artists and albums of its sources."""
+    lex = C.lexicon(spark, sf_dir).withColumnRenamed("surface", "word")
+    pos = word_class(F.col("word"), F.coalesce("reading", F.lit("")))
+    level = F.when(F.col("jlpt_level") > 0, F.concat(F.lit("N"), F.col("jlpt_level").cast("string")))
+    own = F.array(*(F.struct(c.alias("v"), F.lit(b).alias("boost")) for c, b in ((F.col("word"), 48), (F.col("reading"), 44), (F.col("meaning"), 12), (level, 8))))
+    roots = F.concat(_boosted(inflections(F.col("word"), pos), 42), _boosted(inflections(F.col("reading"), pos), 38))
+    of_lex = lex.select("word", F.explode(F.concat(own, roots)).alias("f"))
+    m = C.located(spark, sf_dir)
+    seen = m.select("word", F.explode(F.array(*(F.struct(F.col(c).alias("v"), F.lit(b).alias("boost")) for c, b in (("matched_text", 40), ("title", 14), ("artist", 12), ("album", 12))))).alias("f"))
+    ex = table(spark, sf_dir, "word_examples").where("word is not null")
+    shown = ex.select("word", F.explode(F.array(*(F.struct(F.col(c).alias("v"), F.lit(b).alias("boost")) for c, b in (("source_title", 12), ("matched_text", 14))))).alias("f"))
+    e = of_lex.unionByName(seen).unionByName(shown).select("word", "f.v", "f.boost").where("v is not null and v != ''").distinct()
+    # variants are made once a value, not once a word
+    values = e.select("v").distinct().select("v", F.explode(V.search_variants(F.col("v"))).alias("value"))
+    return e.join(values, "v").select("word", "value", "boost").distinct()
+
+
+def _boosted(values: Column, boost: int) -> Column:
+    return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.struct(x.alias("v"), F.lit(boost).alias("boost")))
 
 
 def search_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,16 +82,25 @@ def search_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("word").agg(F.sum("s").alias("score"), F.min("s").alias("least")).where("least > 0").select("word", "score")
 
 
-def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search with variants and fuzzy matches; each of the terms on its own, best words first."""
-    e = search_entries(C.lexicon(spark, sf_dir))
-    q = e.withColumn("term", F.explode(F.array(*(F.lit(t) for t in QUERY))))
+def search(entries: DataFrame, queries: list[str]) -> DataFrame:
+    """(query, word, score): the sum over a query's terms of the best score of any variant in any field;
+    a word that a term doesn't find isn't found."""
+    terms = [(q, i, v) for q in queries for i, t in enumerate(q.split()) for v in variants(t)]
+    # each distinct field is scored against the terms of the few queries
+    fields = entries.select("value", "boost").distinct().select("*", F.explode(F.array(*(F.struct(F.lit(a).alias("query"), F.lit(i).alias("i"), F.lit(t).alias("term")) for a, i, t in terms))).alias("q")).select("value", "boost", "q.*")
     plain = score(F.col("value"), F.col("term"), F.col("boost"))
-    fuzzy = V.fuzzy_score("value", "term")
-    q = q.withColumn("plain", plain).withColumn("fuzzy", fuzzy)
-    best = F.when(F.col("plain") > 0, F.col("plain")).when(F.col("fuzzy") > 0, F.col("fuzzy") + F.least("boost", F.lit(20))).otherwise(0)
-    s = q.groupBy("term", "word").agg(F.max(best).alias("score")).where("score > 0")
-    order = Window.partitionBy("term").orderBy(F.desc("score"), "word")
+    scored = fields.withColumn("plain", plain).withColumn("fuzzy", F.when(F.col("plain") == 0, V.fuzzy_score("value", "term")).otherwise(0))
+    scored = scored.withColumn("s", F.when(F.col("plain") > 0, F.col("plain")).when(F.col("fuzzy") > 0, F.col("fuzzy") + F.least("boost", F.lit(20))).otherwise(0)).where("s > 0")
+    best = scored.groupBy("value", "boost", "query", "i").agg(F.max("s").alias("s"))
+    words = entries.join(best, ["value", "boost"]).groupBy("query", "word", "i").agg(F.max("s").alias("s"))
+    need = F.create_map(*(x for a in queries for x in (F.lit(a), F.lit(len(a.split())))))
+    return words.groupBy("query", "word").agg(F.sum("s").alias("score"), F.count(F.lit(1)).alias("n")).where(F.col("n") == need[F.col("query")]).select("query", "word", "score")
+
+
+def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each of the queries over all fields, best words first."""
+    s = search(search_entries(spark, sf_dir), QUERY)
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "word")
     return s.withColumn("place", F.row_number().over(order)).where("place <= 600")
 
 
@@ -160,11 +187,17 @@ def pos_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("word", F.array_join(F.when(both, merged).otherwise(pos), "|").alias("pos"))
 
 
+def _level_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexicon as one dictionary a level: (headword, dict, score, entry_id), easier lists having the higher score."""
+    x = table(spark, sf_dir, "lexicon").where("surface is not null")
+    keys = F.array_distinct(F.concat(F.array("surface"), T.readings(F.col("reading"))))
+    return x.select(F.explode(keys).alias("headword"), F.concat(F.lit("N"), F.coalesce("jlpt_level", F.lit(0)).cast("string")).alias("dict"), F.when(F.col("meaning").isNull(), 0).otherwise(1).alias("score"), F.col("entry_pos").alias("entry_id"))
+
+
 def dictionary_probe(spark: SparkSession, sf_dir: str, each: int = 8, enough: int = 24) -> DataFrame:
-    """Entries of a headword over all dictionaries: at most `each` of one, and no new dictionary once there are `enough`."""
-    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("headword"), F.col("p_brand").alias("dict"), F.col("p_size").alias("score"), F.col("p_partkey").alias("entry_id"))
+    """Entries of a key over all dictionaries: at most `each` of one, and no new dictionary once there are `enough`."""
     top = Window.partitionBy("headword", "dict").orderBy(F.desc("score"), "entry_id")
-    t = p.withColumn("k", F.row_number().over(top)).where(F.col("k") <= each)
+    t = _level_lists(spark, sf_dir).withColumn("k", F.row_number().over(top)).where(F.col("k") <= each)
     sizes = t.groupBy("headword", "dict").agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("headword").orderBy("dict").rowsBetween(Window.unboundedPreceding, -1)
     open_ = sizes.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0))).where(F.col("before") < enough)
@@ -172,10 +205,8 @@ def dictionary_probe(spark: SparkSession, sf_dir: str, each: int = 8, enough: in
 
 
 def dictionary_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries, headwords and lookup keys of each dictionary."""
-    p = table(spark, sf_dir, "part")
-    keys = p.select("p_brand", F.explode(F.array_distinct(F.concat(F.array("p_name"), F.split("p_name", " ")))).alias("key"))
-    return p.groupBy("p_brand").agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("p_name").alias("headwords")).join(keys.groupBy("p_brand").agg(F.count(F.lit(1)).alias("keys")), "p_brand")
+    """Entries and lookup keys of each dictionary."""
+    return _level_lists(spark, sf_dir).groupBy("dict").agg(F.count_distinct("entry_id").alias("entries"), F.count_distinct("headword").alias("headwords"), F.count(F.lit(1)).alias("keys"))
 
 
 def anime_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,8 +251,10 @@ def _rows(rows: list[tuple], cols: str) -> str:
 
 _titles = ", ".join(f"'{t}'" for t in NAME_TITLES)
 _score = "case when v = '' or length(term) > length(v) + 6 then 0 when v = term then 120 + boost when starts_with(v, term) then 95 + boost when contains(v, term) then 72 + boost else 0 end"
+_lists = """e as (select unnest(list_distinct(list_concat([surface], list_filter(list_transform(regexp_split_to_array(coalesce(reading, ''), '[;；、,]'), lambda x: trim(x)), lambda x: x <> '')))) as headword, 'N' || coalesce(jlpt_level, 0) as dict, case when meaning is null then 0 else 1 end as score, entry_pos as entry_id from lexicon where surface is not null)"""
 SQL = {
-    "search_terms_index": "select p_partkey, unnest(list_distinct(list_concat([p_name], string_split(p_name, ' '), [p_brand, p_type]))) as term from part",
+    "search_terms_index": f"""with {CORE}, t as (select surface, unnest(list_distinct(list_concat([surface], list_transform(regexp_split_to_array(coalesce(reading, ''), '[;；、,]'), lambda x: trim(x)), [coalesce(meaning, '')], string_split(coalesce(meaning, ''), ' ')))) as term from lex)
+      select * from t where term <> '' and length(term) <= 300""",
     "search_score": f"""with {CORE}, e as (select surface as word, lower(coalesce(surface, '')) as v, 48 as boost from lex union all select surface, lower(coalesce(reading, '')), 44 from lex union all select surface, lower(coalesce(meaning, '')), 12 from lex),
       s as (select word, term, max({_score}) as s from e, (values ('う'), ('sense')) as q(term) group by word, term) select word, cast(sum(s) as bigint) as score from s group by word having min(s) > 0""",
     "surface_index": f"""with {CORE}, n as (select word, count(*) as n from mt group by word), f as (select distinct matched_text as surface, word from mt union select word, word from mt)
@@ -245,11 +278,10 @@ SQL = {
       d as (select *, len(list_intersect(list_filter(regexp_extract_all(lower(meaning), '[a-z]+'), lambda x: length(x) > 1 and x not in ({", ".join(f"'{x}'" for x in MEANING_STOP)})), list_filter(regexp_extract_all(lower(gloss), '[a-z]+'), lambda x: length(x) > 1 and x not in ({", ".join(f"'{x}'" for x in MEANING_STOP)})))) as o from c)
       select word, seq, gloss from d qualify row_number() over (partition by word order by o desc, common desc, case when spelling = word then 0 when spelling = '' then 1 else 2 end, list_contains(list_transform(string_split(readings, ';'), lambda x: trim(x)), reading) desc, seq) = 1""",
     "pos_compact": _rows([("見える", "自动词|一段"), ("開く", "自他动词|五段"), ("だ", "助动词"), ("本", "名词")], "word, pos")[1:-1],
-    "dictionary_probe": """with t as (select p_name as headword, p_brand as dict, p_partkey as entry_id, row_number() over (partition by p_name, p_brand order by p_size desc, p_partkey) as place from part), k as (select * from t where place <= 8),
+    "dictionary_probe": f"""with {_lists}, t as (select headword, dict, entry_id, row_number() over (partition by headword, dict order by score desc, entry_id) as place from e), k as (select * from t where place <= 8),
       s as (select headword, dict, count(*) as n from k group by all), o as (select headword, dict, coalesce(sum(n) over (partition by headword order by dict rows between unbounded preceding and 1 preceding), 0) as b from s)
       select k.* from k join o on k.headword = o.headword and k.dict = o.dict where b < 24""",
-    "dictionary_statistics": """with k as (select p_brand, count(*) as keys from (select p_brand, unnest(list_distinct(list_concat([p_name], string_split(p_name, ' ')))) as key from part) group by p_brand)
-      select p.p_brand, count(*) as entries, count(distinct p_name) as headwords, any_value(k.keys) as keys from part p join k on p.p_brand = k.p_brand group by p.p_brand""",
+    "dictionary_statistics": f"with {_lists} select dict, count(distinct entry_id) as entries, count(distinct headword) as headwords, count(*) as keys from e group by dict",
     "lyric_best_match": _rows([("t1", 1, 25.875), ("t2", 4, 20.5)], "track, id, score")[1:-1],
 }
 QUERIES = [search_terms_index, search_score, search_ranked, surface_index, annotation_candidates, annotate_spans, annotation_budget, glossary_lookup, glossary_layers, jmdict_best_entry, pos_compact, dictionary_probe, dictionary_statistics, anime_match, lyric_best_match]

@@ -81,3 +81,29 @@ def test_diverse_examples_equal_picking_one_by_one(spark):
     # the query fills up after all new sources, so places may differ, the sets may not
     got = catalog.queries()["example_diverse_topk"](spark, SF).toPandas()
     assert {(w, e) for w, _, e in want} == set(zip(got["word"], got["example_id"]))
+
+
+def test_search_equals_scoring_every_field(spark):
+    from shiori.functions import pure
+    from shiori.plans import lookup
+
+    entries = [(r.word, r.value, r.boost) for r in lookup.search_entries(spark, SF).collect()]
+    assert len(entries) == len(set(entries)) and {b for _, _, b in entries} >= {48, 44, 42, 40, 14, 12, 8}
+
+    def one(value, boost, term):
+        if not value or len(term) > len(value) + 6:
+            return 0
+        if term in value:
+            return boost + (120 if value == term else 95 if value.startswith(term) else 72)
+        f = pure.fuzzy(value, term)
+        return f + min(boost, 20) if f else 0
+
+    want = {}
+    for q in lookup.QUERY:
+        by = {}
+        for w, v, b in entries:
+            for i, t in enumerate(q.split()):
+                by.setdefault(w, {})[i] = max(by.get(w, {}).get(i, 0), max(one(v, b, x) for x in pure.variants(t)))
+        want |= {(q, w): sum(s.values()) for w, s in by.items() if all(s.values())}
+    got = {(r.query, r.word): r.score for r in lookup.search(lookup.search_entries(spark, SF), lookup.QUERY).collect()}
+    assert got == want and len(got) > 20
