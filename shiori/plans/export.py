@@ -163,6 +163,9 @@ SQL = {
     "character_table": f"with {CORE}, d as (select * from doc where bangumi_id is not null and len(characters) > 0 qualify row_number() over (partition by bangumi_id order by loaded_at desc, doc_id) = 1) select distinct bangumi_id, name from (select bangumi_id, unnest(characters) as name from d) where trim(name) <> ''",
     "collected_shows": _rows([(1, "甲", "甲中", "2001-04-01", 2001, 5), (2, "Bangumi 2", "乙", "x", None, 2), (3, "丙", None, None, None, None)], "bangumi_id, title_jp, title_zh, air_date, air_year, ep_status"),
     "collected_tracks": _rows([("bangumi:3:subject", 3, "丙", "丙", None, None, None, None, 1), ("bangumi:2:ep:20", 2, "夜", "乙", "星野", 1, 1, 245000, 2), ("bangumi:2:ep:21", 2, "朝", "乙", "星野", 2, None, None, 3)], "track_key, bangumi_id, title, album, artist, track_number, disc, duration_ms, place"),
+    "lyric_search_parameters": f"""with {CORE}, d as (select doc_id as track_key, artist, album from doc where source_type = 'lyrics'),
+      n as (select track_key, album, unnest(list_append(list_filter(list_transform(regexp_split_to_array(artist, '(?i)\\s*(?:、|,|/|／|;|；|&|＆| feat\\.? | ft\\.? )\\s*'), lambda x: trim(x)), lambda x: x <> ''), artist)) as a from d where artist is not null),
+      p as (select track_key, a, album from n union select track_key, a, null from n union select track_key, null, album from d union select track_key, null, null from d) select track_key, count(*) as searches from p group by track_key""",
     "model_answers": _rows([(0, "约 定", "x"), (1, "约定", 'y\\"z'), (2, None, None), (3, None, None)], "i, meaning, note"),
     "gloss_fields": _rows([(0, "约定，约会", "名词|他动", "やくそく"), (1, "水", "名词", ""), (2, "人", "名词", ""), (3, "约定", "", ""), (4, "高校", "", "こうこう|タカこう")], "i, gloss, labels, readings"),
     "wiktionary_glosses": _rows([(0, "水；液体"), (1, "约定；规则"), (2, ""), (3, "「手紙」"), (4, "说"), (5, ""), (6, ""), (7, "水")], "i, gloss"),

@@ -136,8 +136,9 @@ def annotate_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def annotation_budget(spark: SparkSession, sf_dir: str, blocks: int = 260, chars: int = 48_000) -> DataFrame:
     """Of each document, the first blocks within the limits; the last one is cut."""
     by = Window.partitionBy("doc_id").orderBy("line_no")
-    l = C.lines(spark, sf_dir).where(T.has_japanese(F.col("text"))).withColumn("n", F.row_number().over(by)).withColumn("before", F.sum(F.length("text")).over(by) - F.length("text"))
-    l = l.where((F.col("n") <= blocks) & (F.col("before") < chars))
+    # the first blocks are found before anything is summed, so a long document is cut before it is shuffled
+    l = C.lines(spark, sf_dir).where(T.has_japanese(F.col("text"))).withColumn("n", F.row_number().over(by)).where(F.col("n") <= blocks)
+    l = l.withColumn("before", F.sum(F.length("text")).over(by) - F.length("text")).where(F.col("before") < chars)
     return l.select("doc_id", "line_no", F.least(F.length("text").cast("long"), chars - F.col("before")).alias("chars"))
 
 

@@ -197,10 +197,14 @@ def gloss_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readable articles of pages."""
-    body = "".join(f"<p>今日は<ruby>学校<rt>がっこう</rt></ruby>で本を読みました。{i}&amp;</p>" for i in range(8))
-    pages = spark.createDataFrame([(1, f"<html><head><title>x</title></head><body><nav>menu</nav>{body}</body></html>"), (2, "<p>short</p>")], "page_id long, html string")
-    return X.readable(pages)
+    """Readable articles of the imports, each set as a page of paragraphs with a menu, a head and a script."""
+    safe = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+    w = table(spark, sf_dir, "web_imports").where("body is not null")
+    page = F.concat(
+        F.lit("<html><head><title>"), safe(F.coalesce("title", F.lit(""))), F.lit("</title><style>p {}</style></head><body><nav><a>menu</a></nav><p>"),
+        F.regexp_replace(safe(F.col("body")), "\n", "</p><p>"), F.lit("</p><script>var x = '<p>';</script></body></html>"),
+    )
+    return X.readable(w.select(F.col("import_id").alias("page_id"), page.alias("html")))
 
 
 def _list(values: list[str]) -> str:
@@ -269,6 +273,10 @@ SQL = {
       from {_ln} where text is not null""",
     "kana_fold": f"""select word, translate(word, '{T.KATA}', '{T.HIRA}') as hira, translate(word, '{T.HIRA}', '{T.KATA}') as kata, regexp_matches(word, '[぀-ヿ]') as kana, regexp_full_match(word, '[぀-ヿー・]+') as lexical, regexp_full_match(word, '[぀-ヿー]+') as annotation,
       regexp_full_match(word, '[㐀-鿿々]+') as ideographs, regexp_matches(word, '[ぁ-ゖァ-ヺA-Za-z]') as kana_or_latin, regexp_full_match(word, '[ぁ-ゖァ-ヺー・]+') as kana_ish from (select distinct word from matches where word is not null)""",
+    "html_articles": f"""with p as (select import_id as page_id, unnest(string_split(body, chr(10))) as p, generate_subscripts(string_split(body, chr(10)), 1) as i from web_imports where body is not null),
+      q as (select page_id, i, trim(regexp_replace(p, '[\\s\\x{{1c}}-\\x{{1f}}\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'), ' ') as p from p),
+      a as (select page_id, string_agg(p, chr(10) || chr(10) order by i) as article from q where p <> '' group by page_id)
+      select page_id, article from a where length(article) >= 80 and length(regexp_replace(article, '[^{T.JAPANESE[1:]}', '', 'g')) / length(article) >= 0.2""",
     "romaji": f"""with r as (select distinct reading from lexicon where reading is not null), a as (select reading, {_spelled("translate(reading, '" + T.KATA + "', '" + T.HIRA + "')")} as t from r),
       b as (select reading, replace(regexp_replace(t, 'っ+([b-df-hj-np-tv-z])', '\\1\\1', 'g'), 'っ', '') as t from a) select reading, ltrim({_lengthened("t")}, 'ー') as romaji from b""",
     "level_parse": f"""select i, cast(coalesce(nullif(regexp_extract(upper(trim(v)), '(?:JLPT[_\\s-]?|N)([1-5])\\b', 1), ''), nullif(regexp_extract(regexp_replace(upper(trim(v)), '^N', ''), '^\\s*([1-5])\\s*$', 1), '')) as int) as level from {_list(LEVELS)}""",
