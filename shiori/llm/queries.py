@@ -183,6 +183,16 @@ def p8_packs_of_each_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the packs of p8_packs are, by capacity and over all, and how few tokens of room any packing needs at least."""
+    packs = p8_packs(spark, sf_dir).where("pack_id is not null").groupBy("pack_name", "capacity_tokens", "pack_id").agg(F.sum("n_tokens").alias("used"))
+    by = packs.groupBy("pack_name").agg(F.count(F.lit(1)).alias("packs"), F.sum("used").alias("tokens"), F.sum("capacity_tokens").alias("room"))
+    smallest = min(_capacities(spark, sf_dir).values())
+    least = (F.ceil(F.col("tokens") / smallest) * smallest).cast("long") if all(c % smallest == 0 for c in _capacities(spark, sf_dir).values()) else F.col("tokens")
+    whole = by.agg(F.lit("all").alias("pack_name"), F.sum("packs").alias("packs"), F.sum("tokens").alias("tokens"), F.sum("room").alias("room")).withColumn("least_room", least)
+    return by.withColumn("least_room", F.lit(None).cast("long")).unionByName(whole).withColumn("fill", F.round(F.col("tokens") / F.col("room"), 6))
+
+
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shiori.llm.mixing import mix
 
@@ -239,7 +249,7 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p1_found, p1_matches, p2_found, p2_repaired, p3_found, p5_found, p5_house_forms, p6_found, p6_sentences, p4_found, p4_runs, p7_found, p7_terms, p7_word_ngrams, p8_packs, p8_packs_of_each_capacity, p9_mixture, p9_shares, p10_found, p10_text_types]
+    names = [p1_found, p1_matches, p2_found, p2_repaired, p3_found, p5_found, p5_house_forms, p6_found, p6_sentences, p4_found, p4_runs, p7_found, p7_terms, p7_word_ngrams, p8_packs, p8_packs_of_each_capacity, p8_fill, p9_mixture, p9_shares, p10_found, p10_text_types]
     return {f.__name__: _shipped(f) for f in names}
 
 
