@@ -103,11 +103,15 @@ def release(spark: SparkSession) -> None:
 
 
 @contextmanager
-def fixed_plans(spark: SparkSession, partitions: int):
+def fixed_plans(spark: SparkSession, partitions: int, compiled: bool = True):
     """Run plans of known size with `partitions` shuffle partitions and without adaptive
     execution, whose threads and plan versions weigh on the driver in long loops. The caller
-    splits hot keys itself. Their plans aren't described at length, which the driver would keep."""
+    splits hot keys itself. Their plans aren't described at length, which the driver would keep.
+    Few rows are interpreted rather than compiled for: a loop of many such plans would compile
+    more classes than Spark keeps, and compile them again each time around."""
     want = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(partitions), "spark.sql.maxPlanStringLength": "2000"}
+    if not compiled:
+        want |= {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
     before = {k: spark.conf.get(k) for k in want}
     for k, v in want.items():
         spark.conf.set(k, v)
