@@ -16,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -150,10 +151,13 @@ class Model:
         self.total = sum(self.uni.values()) + 0.1 * ROOM
         self.memo: dict = {}
         self.stretches: dict = {}
-        self.lifts: list[_Lift] = []
         self.rarity = _Rarity(self)
         #: Mean of -log P(character) over the corpus.
         self.usual = sum(n * self.rarity[c] for c, n in self.uni.items()) / self.total
+        self.lifts = [_Lift(self, t, r) for r in DOUBLE for t in TRUE[1:] if t != r]
+        self.top = _Top(self.lifts)
+        #: The most a character gains, if it gains at all.
+        self.gains = _Table(np.float64, lambda c: max(0.0, self.top[c]))
 
     def of(self, p: int, c: str) -> tuple[float, int]:
         """(log P(c | class p), class of c)."""
@@ -179,9 +183,6 @@ class Model:
         """
         if text.isascii():
             return False
-        if not self.lifts:
-            self.lifts = [_Lift(self, t, r) for r in DOUBLE for t in TRUE[1:] if t != r]
-            self.top = _Top(self.lifts)
         for lift in (self.top, *self.lifts):
             run = 0.0
             for c in text:
@@ -541,15 +542,75 @@ def readings(text: str, model: Model | None = None) -> dict[str, str]:
     return out
 
 
+def _codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of all texts one after the other, and where each text begins."""
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), np.cumsum(lengths) - lengths
+
+
+class _Table:
+    """A number for every character, worked out when it first comes."""
+
+    def __init__(self, kind: type, of):
+        self.known, self.value, self.of = np.zeros(0x110000, dtype=bool), np.zeros(0x110000, dtype=kind), of
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        new = codes[~self.known[codes]]
+        for o in np.unique(new).tolist():
+            self.known[o], self.value[o] = True, self.of(chr(o))
+        return self.value[codes]
+
+
+_class_codes = _Table(np.uint8, classes)
+_NOTED, _SJIS, _KANA, _UTF8 = 1, 2, 4, 8
+
+
+def _kind(c: str) -> int:
+    """Whether a character is one that `readings` looks for wherever it stands, a sign of Shift JIS, kana, or a sign of
+    UTF-8 in each of the double-byte encodings."""
+    noted = c == "$" or SUSPECT.match(c) or HALF.match(c) or LOSSY.match(c)
+    utf8 = sum(_UTF8 << k for k, r in enumerate(DOUBLE) if UTF8_SIGNS[r].match(c))
+    return _NOTED * bool(noted) | _SJIS * bool(SJIS_ANY.match(c)) | _KANA * bool(KANA.match(c)) | utf8
+
+
+_kinds = _Table(np.uint8, _kind)
+
+
+def pair_counts(texts: list[str]) -> dict[tuple[int, str], int]:
+    """What char_counts counts, over many texts at once, by the number of a class."""
+    texts = [t for t in texts if t]
+    if not texts:
+        return {}
+    codes, begin = _codes_of(texts)
+    before = np.empty(len(codes), dtype=np.int64)
+    before[1:] = _class_codes(codes[:-1])
+    before[begin] = START
+    pairs, n = np.unique(before << 21 | codes, return_counts=True)
+    return {(p >> 21, chr(p & 0x1FFFFF)): k for p, k in zip(pairs.tolist(), n.tolist())}
+
+
+def quiet(texts: list[str], model: Model) -> np.ndarray:
+    """Which of the texts, none of them empty, surely have no readings and no lossy characters: none that
+    `readings` looks for, no two signs of UTF-8 in one encoding, and even all that their characters gain together is no more than LIFT."""
+    codes, begin = _codes_of(texts)
+    if not len(codes):
+        return np.zeros(len(texts), dtype=bool)
+    kinds, gains = _kinds(codes), model.gains(codes)
+    kana = np.add.reduceat((kinds & _KANA > 0).astype(np.int64), begin)
+    odd = (np.bitwise_or.reduceat(kinds, begin) & _SJIS > 0) & (kana * 4 < np.diff(np.append(begin, len(codes))))
+    for k in range(len(DOUBLE)):
+        odd |= np.add.reduceat((kinds & _UTF8 << k > 0).astype(np.int64), begin) >= 2
+    return ~odd & (np.bitwise_or.reduceat(kinds, begin) & _NOTED == 0) & (np.add.reduceat(gains, begin) <= LIFT - 1e-6)
+
+
 def _counted(rows: DataFrame) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from shiori.llm import charsets as c
 
         n: Counter = Counter()
         for b in batches:
-            for t in b["text"]:
-                c.char_counts(t, n)
-        yield pd.DataFrame([(ord(p), c_, float(v)) for (p, c_), v in n.items()], columns=["p", "c", "n"])
+            n.update(c.pair_counts(b["text"].tolist()))
+        yield pd.DataFrame([(p, c_, float(v)) for (p, c_), v in n.items()], columns=["p", "c", "n"])
 
     return rows.select("text").mapInPandas(count, "p int, c string, n double").groupBy("p", "c").agg(F.sum("n").alias("n"))
 
@@ -563,6 +624,7 @@ def _likelihoods(rows: DataFrame, counts: dict, least: float) -> DataFrame:
         model = c.Model(counts)
         for b in batches:
             out = []
+            b = b[~c.quiet(b["text"].tolist(), model)]
             for key, src, field, t in zip(b["row_key"], b["source"], b["field"], b["text"]):
                 lost = len(c.LOSSY.findall(t))
                 base = None

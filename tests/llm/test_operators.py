@@ -348,3 +348,20 @@ def test_near_bodies_meet_by_segments():
     near = {(j, i) for i, j in near}
     assert len(near) > 40 and near <= got["within"]
     assert {(i, j) for i, j in near if i < half <= j} <= got["past"]
+
+
+def test_quiet_texts_have_no_readings():
+    r = random.Random(3)
+    good = ["".join(r.choice("今日は学校で本を読みました。花が咲く海へ行きますé二夜$ｱABC1 財") for _ in range(r.randint(1, 25))) for _ in range(400)]
+    bad = [t.encode(true, "replace").decode(read, "replace") for t in good[:60] for true, read in [("utf-8", "cp1252"), ("cp932", "gb18030"), ("euc_jp", "cp932"), ("utf-8", "cp932"), ("gb18030", "big5")]]
+    texts = [*good, *bad, "本��を見ます", "\x1b$BF|K\\\x1b(B", "夜夜夜", "\ud800x"]
+    counts = Counter()
+    for t in good:
+        charsets.char_counts(t, counts)
+    counts = {(ord(p), c): v for (p, c), v in counts.items()}
+    assert charsets.pair_counts(["", *good]) == counts and charsets.pair_counts([]) == {}
+    model = charsets.Model({k: 50.0 * v for k, v in counts.items()})
+    quiet = charsets.quiet(texts, model)
+    for t, q in zip(texts, quiet):
+        assert not q or not charsets.readings(t, model) and not charsets.LOSSY.search(t)
+    assert quiet[:400].mean() > 0.1 and not quiet[400:].all() and len(charsets.quiet([], model)) == 0
