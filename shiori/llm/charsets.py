@@ -568,10 +568,11 @@ def _undo_stretches(text: str, true: str, read: str, model: Model) -> str | None
     costs the logarithm of the number of places.
     """
     raw = [*map(_encoded[read].__getitem__, text)]
-    if not _SHIFTS[true] and not any(x[0] == 0x8F or len(x) == 1 and 0x7F < x[0] < 0xFF for x in raw):
-        return _undo_in_step(text, raw, true, model)
-    if not _LONG[true].search(b"".join(raw)) and not _may_gain(text, true, read, model):
-        return None
+    if not any(len(x) in (3, 8) for x in raw):  # rare letters of euc_jp, syllables of euc_kr that are spelt out
+        if not _SHIFTS[true] and not any(x[0] == 0x8F or len(x) == 1 and 0x7F < x[0] < 0xFF for x in raw):
+            return _undo_in_step(text, raw, true, model)
+        if not _LONG[true].search(b"".join(raw)) and not _may_gain(text, true, read, model):
+            return None
     stream, codes, memo, of, cost = b"".join(raw), _codes[true], model.memo, model.of, math.log(len(text) + 1)
     size = len(stream)
     kept: list = [None] * (size + 1)  # (value, class, path, character) of texts that end in a character kept
@@ -774,7 +775,8 @@ def _highest(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarr
     before = np.empty(len(values))
     before[1:] = upto[:-1]
     before[begin] = 0.0
-    return np.maximum(np.maximum.reduceat(upto - (np.minimum.accumulate(before - down) + down), begin), 0.0)
+    high = np.maximum.reduceat(upto - (np.minimum.accumulate(before - down) + down), begin)
+    return np.maximum(high + 4 * np.spacing(down[-1]), 0.0)  # not lower for being rounded
 
 
 def quiet(texts: list[str], model: Model) -> np.ndarray:

@@ -401,6 +401,12 @@ def test_stretches_are_the_same_without_bounds_and_steps(monkeypatch):
     assert sum(x is not None for x in quick) > 100 and 0 < sum(pruned) < len(pairs)
 
 
+def test_characters_of_more_than_two_bytes_are_no_single_step():
+    # a syllable that euc_kr spells out in eight bytes
+    model = charsets.Model({(p, chr(o)): 90.0 for p in range(22) for o in range(0x3041, 0x3094)})
+    assert charsets._undo_stretches("x똠y", "euc_jp", "euc_kr", model) == charsets._undo_stretches("x똠y", "gb18030", "euc_kr", model) == "xぴえでけy"
+
+
 def test_plain_texts_are_not_taken_apart(monkeypatch):
     r = random.Random(5)
     words = ["the", "don't", "café", "well-known", "Ü", "No", "A", "한국", "Straße", "’s", ",", ";", "-", '"Yes"', "and:", "ΑΣ", "Mr.", "ok!", "3", "。", "…", "(so)"]
